@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import op3_chat_format
 from .language_id import op2_language_id
 from .media import op5_media_columns
+from .mixing import op9_mix_sources
+from .packing import op4_best_fit_packing
 from .secret_scan import op6_secret_scan
 from .simhash import op10_simhash_dedup
 from .topk_search import op1_topk_search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_chat_format, op5_media_columns, op6_secret_scan, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_chat_format, op4_best_fit_packing, op5_media_columns, op6_secret_scan, op9_mix_sources, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
