@@ -13,10 +13,11 @@ from .mixing import op9_mix_sources
 from .packing import op4_best_fit_packing
 from .secret_scan import op6_secret_scan
 from .simhash import op10_simhash_dedup
+from .suffix_dedup import op8_suffix_dedup
 from .token_store import op7_token_store
 from .topk_search import op1_topk_search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_chat_format, op4_best_fit_packing, op5_media_columns, op6_secret_scan, op7_token_store, op9_mix_sources, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_chat_format, op4_best_fit_packing, op5_media_columns, op6_secret_scan, op7_token_store, op8_suffix_dedup, op9_mix_sources, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
