@@ -19,6 +19,15 @@ from .topk_search import op1_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_chat_format, op4_best_fit_packing, op5_media_columns, op6_secret_scan, op7_token_store, op8_suffix_dedup, op9_mix_sources, op10_simhash_dedup)}
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
