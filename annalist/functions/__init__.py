@@ -1,0 +1 @@
+"""Column builders and scalar functions over names, dates and free text."""
