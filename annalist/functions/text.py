@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = r"(?U)\s+"
 
@@ -60,7 +61,7 @@ def name_key(text: str | None) -> str | None:
     return key or "".join(plain.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normkey(names: pd.Series) -> pd.Series:
     """name_key over a column; NFKD has no built-in form."""
     return names.map(name_key, na_action="ignore")
@@ -84,7 +85,7 @@ def strength(a: str, b: str) -> int:
     return int(bool(x and y) and ratio(x, y) >= 0.88)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def match_strength(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0 if x is None or y is None else strength(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
