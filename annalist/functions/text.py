@@ -161,7 +161,7 @@ def clean_participants(names: Column | str) -> Column:
 
 def members(side: Column | str) -> Column:
     """The people of "A, B & C" or "A and B"."""
-    return F.filter(F.transform(F.split(col(side), r"(?i)\s*(?:,|&|/|\band\b)\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(side), r"(?i)\s*(?:,|&|/|\band\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def corner(side: Column | str) -> Column:
@@ -242,7 +242,7 @@ def stand_ins(c: Column | str) -> Column:
     """map: stand-in -> the person replaced, of "X [Replacement for Y]"."""
     who = F.regexp_extract_all(col(c), F.lit(r"(?i)([^\[\],&]+?)\s*\[replacement for [^\]]+\]"), F.lit(1))
     whom = F.regexp_extract_all(col(c), F.lit(r"(?i)\[replacement for ([^\]]+)\]"), F.lit(1))
-    return F.map_from_arrays(F.transform(who, F.trim), F.transform(whom, F.trim))
+    return F.map_from_arrays(F.transform(who, lambda x: F.trim(x)), F.transform(whom, lambda x: F.trim(x)))
 
 
 def location(c: Column | str) -> Column:
@@ -250,7 +250,7 @@ def location(c: Column | str) -> Column:
     raw = col(c)
     has = F.instr(raw, " in ") > 0
     venue, place = F.when(has, F.trim(F.substring_index(raw, " in ", 1))), F.when(has, F.substring_index(raw, " in ", -1)).otherwise(raw)
-    parts = F.transform(F.split(place, ","), F.trim)
+    parts = F.transform(F.split(place, ","), lambda x: F.trim(x))
     n = F.size(parts)
     return F.struct(venue.alias("venue"), F.element_at(parts, 1).alias("city"), F.when(n >= 3, F.try_element_at(parts, F.lit(2))).alias("region"), F.when(n >= 2, F.element_at(parts, -1)).alias("country"))
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def validity_join(rows: DataFrame, eras: DataFrame, day: Column, lo: str = "lo", hi: str = "hi", on: Column | None = None, how: str = "inner") -> DataFrame:
     """Every era (inclusive bounds, null is open) that holds the row's day: none, one or several rows."""
@@ -90,36 +92,21 @@ def unique_candidate(left: DataFrame, right: DataFrame, keys: list[str], how: st
     return left.join(lone, keys, how)
 
 
-def tiered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[tuple[str, Column]]) -> DataFrame:
+def tiered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[tuple[str, list[Column], list[Column]]]) -> DataFrame:
     """left_id, right_id, rule: the first rule that joins, each row of either side used once.
 
-    A rule is a name and a condition over both sides (columns of ``l`` and ``r``).  Within a rule a left
-    row claims in order of its id the least free right id; what both sides agree on is taken, and the
-    rule is tried again with the rest until nothing more joins.
-    """
-    spark = left.sparkSession
-    done = spark.createDataFrame([], f"{left_id} {left.schema[left_id].dataType.simpleString()}, {right_id} {right.schema[right_id].dataType.simpleString()}, rule string")
-    for name, condition in tiers:
-        pairs = left.alias("l").join(right.alias("r"), condition).select(F.col(f"l.{left_id}"), F.col(f"r.{right_id}")).distinct()
-        pairs = pairs.join(done.select(left_id), left_id, "left_anti").join(done.select(right_id), right_id, "left_anti")
-        done = done.unionByName(claims(pairs, left_id, right_id).withColumn("rule", F.lit(name)))
-    return done
-
-
-def claims(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """One-to-one pairs out of candidates: a pair is taken if it is the first choice of both its rows.
-
-    First choices are the least ids, so each pass takes at least the least pair of every component.
-    Four passes are declared; what competes longer is left out.
+    A rule is a name and equal keys of both sides (null joins nothing).  Within a rule the candidates of a
+    key claim in order of their ids: the first left row gets the first right row, and so on.  What a rule
+    leaves goes on to the next; lineage is cut after each.
     """
-    taken = None
-    rest = pairs
-    for _ in range(4):
-        best = rest.withColumn("_l", F.min(right_id).over(Window.partitionBy(left_id))).withColumn("_r", F.min(left_id).over(Window.partitionBy(right_id)))
-        got = best.where((F.col("_l") == F.col(right_id)) & (F.col("_r") == F.col(left_id))).select(left_id, right_id)
-        taken = got if taken is None else taken.unionByName(got)
-        rest = rest.join(got.select(left_id), left_id, "left_anti").join(got.select(right_id), right_id, "left_anti")
-    return taken
+    out, a, b = None, left, right
+    for name, lk, rk in tiers:
+        keys = [f"_k{i}" for i in range(len(lk))]
+        side = lambda df, cols, id_, keys=keys: reduce(lambda d, c: d.where(F.col(c).isNotNull()), keys, df.select(id_, *(c.alias(k) for c, k in zip(cols, keys, strict=True)))).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(id_)))
+        got = cut(side(a, lk, left_id).join(side(b, rk, right_id), [*keys, "_n"]).select(left_id, right_id, F.lit(name).alias("rule")))
+        out = got if out is None else out.unionByName(got)
+        a, b = a.join(got.select(left_id), left_id, "left_anti"), b.join(got.select(right_id), right_id, "left_anti")
+    return out
 
 
 def offset_probe(rows: DataFrame, entries: DataFrame, keys: list[str], day: str, entry_day: str, value: str, row_id: str, offsets: tuple = (0, 1, -1, 2, -2, 3, -3)) -> DataFrame:

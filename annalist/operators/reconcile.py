@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,16 +169,15 @@ def compare_cards(cards: DataFrame) -> DataFrame:
         if order != sorted(order):
             yield "order", None, None
 
-    def plain(m) -> dict:
-        w = m["winner"]
-        return {"sides": [list(s) for s in m["sides"]], "winner": None if w is None or w != w else w}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (c.to_pylist() for c in batch.columns)
+            rows = [(e, *c) for e, a, b in zip(*columns, strict=True) for c in classes(a or [], b or [])]
+            if rows:
+                types = [pa.int64(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["event_id", "class", "ours", "theirs"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(e, *c) for e, a, b in zip(pdf["event_id"], pdf["ours"], pdf["theirs"], strict=True) for c in classes([plain(m) for m in (a if a is not None else [])], [plain(m) for m in (b if b is not None else [])])]
-            yield pd.DataFrame(rows, columns=["event_id", "class", "ours", "theirs"]).astype({"ours": "Int32", "theirs": "Int32"})
-
-    return cards.select("event_id", "ours", "theirs").mapInPandas(run, "event_id long, class string, ours int, theirs int")
+    return cards.select(F.col("event_id").cast("long"), "ours", "theirs").mapInArrow(run, "event_id long, class string, ours int, theirs int")
 
 
 def without_ruled(rows: DataFrame, rulings: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def lines(df: DataFrame, column: str = "value") -> DataFrame:
 def markdown_rows(df: DataFrame, columns: list[str], column: str = "value") -> DataFrame:
     """Rows of markdown tables as trimmed columns; head and rule rows are left out."""
     rows = lines(df, column).where(F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+\|?\s*$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     out = rows.withColumn("_c", cells).where(F.size("_c") >= len(columns))
     keep = [c for c in df.columns if c != column]
     out = out.select(*keep, "line_no", *(F.col("_c")[i].alias(n) for i, n in enumerate(columns)))
@@ -100,7 +100,7 @@ def feuds(pages: DataFrame) -> DataFrame:
 def tournaments(pages: DataFrame) -> DataFrame:
     """air_date, title, winners; undated rows are left out."""
     r = markdown_rows(pages, ["Date", "Tournament", "Winner"])
-    winners = F.transform(F.regexp_extract_all("Winner", F.lit(r"\[([^\]]*)\]\("), F.lit(1)), F.trim)
+    winners = F.transform(F.regexp_extract_all("Winner", F.lit(r"\[([^\]]*)\]\("), F.lit(1)), lambda x: F.trim(x))
     return r.select(dates.day_first("Date").alias("air_date"), link_text("Tournament").alias("title"), winners.alias("winners")).where("air_date IS NOT NULL")
 
 
@@ -114,7 +114,7 @@ def title_reigns(pages: DataFrame) -> DataFrame:
 def listing(pages: DataFrame) -> DataFrame:
     """air_date, nr, title, place, workers of event listings: one line holds an event and links of workers."""
     rows = lines(pages).where(F.col("line").rlike(r"\d{2}\.\d{2}\.\d{4}") & F.col("line").contains("id=1&nr="))
-    worker = F.transform(F.regexp_extract_all("line", F.lit(r"\[([^\]]*)\]\([^)]*id=2&nr=\d+[^)]*\)"), F.lit(1)), F.trim)
+    worker = F.transform(F.regexp_extract_all("line", F.lit(r"\[([^\]]*)\]\([^)]*id=2&nr=\d+[^)]*\)"), F.lit(1)), lambda x: F.trim(x))
     return rows.select(dates.day_first(F.regexp_extract("line", r"(\d{2}\.\d{2}\.\d{4})", 1)).alias("air_date"), F.regexp_extract("line", r"id=1&nr=(\d+)", 1).cast("long").alias("nr"), F.regexp_extract("line", r"\[([^\]]*)\]\([^)]*id=1&nr=", 1).alias("title"), F.trim(F.regexp_extract("line", r"@\s*([^|\[]+)", 1)).alias("place"), worker.alias("workers"))
 
 

@@ -35,7 +35,7 @@ def test_stab_join_ends_are_inclusive(spark):
 def test_tiers_claim_once(spark):
     left = spark.createDataFrame([(1, 10, "a"), (2, 10, "b"), (3, None, "b")], "id int, nr int, d string")
     right = spark.createDataFrame([(7, 10, "a"), (8, 99, "b"), (9, 98, "b")], "rid int, rnr int, rd string")
-    got = joins.tiered(left, right, "id", "rid", [("nr", F.col("l.nr") == F.col("r.rnr")), ("day", F.col("l.d") == F.col("r.rd"))])
+    got = joins.tiered(left, right, "id", "rid", [("nr", [F.col("nr")], [F.col("rnr")]), ("day", [F.col("d")], [F.col("rd")])])
     assert rows(got, "id") == [(1, 7, "nr"), (2, 8, "day"), (3, 9, "day")]
 
 

@@ -12,7 +12,7 @@ def run(df, name, mode="append"):
 
 
 def stream(spark, tmp_path):
-    spark.createDataFrame([("k", "a", 0), ("k", "a", 60), ("k", "b", 120), ("j", "a", 0), ("j", "a", 0), ("z", "q", 90000)], "key string, holder string, s long").select("key", "holder", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("k", "a", 0), ("k", "a", 60), ("k", "b", 120), ("j", "a", 0), ("j", "a", 0), ("z", "q", 90000)], "key string, holder string, s long").select("key", "holder", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
     return spark.readStream.schema("key string, holder string, ts timestamp").parquet(str(tmp_path / "in"))
 
 
