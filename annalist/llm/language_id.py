@@ -75,13 +75,17 @@ class SuffixAutomaton:
         return cur
 
     def table(self, alphabet: int) -> np.ndarray:
-        """state * alphabet + symbol -> 2 * next state + (1 if a phrase ended before the symbol)."""
+        """state * alphabet + symbol -> 2 * next state + (1 if a phrase ended before the symbol).
+
+        State 0 is the start of a window; the last state stands for a phrase that is one unknown symbol.
+        """
         n = len(self.next)
-        out = np.full((n, alphabet), -1, dtype=np.int32)
+        out = np.full((n + 1, alphabet), -1, dtype=np.int32)
         for state, moves in enumerate(self.next):
             for c, to in moves.items():
                 out[state, c] = 2 * to
-        restart = np.where(out[0] < 0, 0, out[0]) + 1
+        out[0] = np.where(out[0] < 0, 2 * n, out[0])
+        restart = out[0] + 1
         return np.where(out < 0, restart[None, :], out).astype(np.int32).ravel()
 
 
