@@ -169,3 +169,19 @@ def anti_both(left: DataFrame, right: DataFrame, keys: list[str], left_name: str
     a = left.select(*keys).join(right.select(*keys), keys, "left_anti").withColumn(side, F.lit(left_name))
     b = right.select(*keys).join(left.select(*keys), keys, "left_anti").withColumn(side, F.lit(right_name))
     return a.unionByName(b)
+
+
+def covering(events: DataFrame, spans: DataFrame, event_id: str, span_id: str) -> DataFrame:
+    """event_id, span_id: spans of months (start, end as YYYY-MM) that hold an event's air_date.
+
+    A span is dealt to each of its months, so the join is by month.
+    """
+    first = lambda c: F.to_date(F.concat(F.col(c), F.lit("-01")))
+    months = spans.withColumn("_m", F.explode(F.sequence(first("start"), first("end"), F.expr("INTERVAL 1 MONTH"))))
+    return events.withColumn("_m", F.trunc("air_date", "MM")).join(months.select(span_id, "_m"), "_m").select(event_id, span_id)
+
+
+def first_family(rows: DataFrame, ranges: DataFrame, row_id: str, day: str, value: str) -> DataFrame:
+    """row_id, value: of the ranges (family, priority, lo, hi, value) of a row's family that hold its day, the first by priority."""
+    hit = rows.join(ranges, "family").where((F.col("lo").isNull() | (F.col(day) >= F.col("lo"))) & (F.col("hi").isNull() | (F.col(day) <= F.col("hi"))))
+    return hit.groupBy(row_id).agg(F.min(F.struct("priority", value)).alias("_v")).select(row_id, F.col(f"_v.{value}").alias(value))

@@ -111,3 +111,11 @@ def group_labels(names: DataFrame, competitors: DataFrame) -> DataFrame:
     parts = names.select("name", F.regexp_extract("name", r"^(.*?)\s*\(", 1).alias("label"), F.explode(F.split(F.regexp_extract("name", r"\(([^)]*)\)", 1), r"\s*(?:,|&|\band\b)\s*")).alias("member"))
     known = parts.join(competitors.select(F.col("name").alias("member")).distinct().withColumn("_k", F.lit(True)), "member", "left")
     return known.groupBy("name", "label").agg(F.min(F.coalesce("_k", F.lit(False))).alias("all")).where("all AND label <> ''").select("label").distinct()
+
+
+def coverage(matches: DataFrame, media: DataFrame, year: str = "year") -> DataFrame:
+    """year, events, with_show, matches, with_video of matches (event_id, match_order, year) and media (event_id, match_order; null: the whole show)."""
+    whole = media.where("match_order IS NULL").select("event_id").distinct().withColumn("_show", F.lit(True))
+    single = media.where("match_order IS NOT NULL").select("event_id", "match_order").distinct().withColumn("_video", F.lit(True))
+    m = matches.join(whole, "event_id", "left").join(single, ["event_id", "match_order"], "left")
+    return m.groupBy(year).agg(F.countDistinct("event_id").alias("events"), F.countDistinct(F.when(F.col("_show"), F.col("event_id"))).alias("with_show"), F.count("*").alias("matches"), F.count_if(F.coalesce("_video", F.lit(False))).alias("with_video"))
