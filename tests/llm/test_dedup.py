@@ -161,7 +161,8 @@ def test_removal_equals_brute_force(spark, seed, monkeypatch):
 
 
 def test_repeated_rows_nulls_and_no_rows(spark):
-    t = "".join(random.Random(4).choice("abcdefgh ") for _ in range(300))
+    rng = random.Random(4)
+    t = "".join(rng.choice("abcdefgh ") for _ in range(300))
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_removed) for r in sd.dedup(df).collect())
     assert got == [(0, 0), (1, 300), (1, 300), (2, 300)]
