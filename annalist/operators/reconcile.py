@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, ratio
+from .lineage import cut
 
 
 def fill_nulls(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,8 +47,11 @@ def stable_ids(current: DataFrame, prior: DataFrame, keys: list[str], top: DataF
 
 
 def dense_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers rows 1, 2, ... in a total order, by sorted range partitions and the sizes of those before."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    """Numbers rows 1, 2, ... in a total order, by sorted range partitions and the sizes of those before.
+
+    The partitions are written once, since both uses must see the same range bounds.
+    """
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_id", 33)
     sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
