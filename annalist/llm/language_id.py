@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordcache
 from .wordcache import slices
 
 UND = "und"
@@ -108,7 +108,7 @@ def code_table(letters: str) -> np.ndarray:
     return np.array([known.get(i, 0) if chr(i).isalpha() else 1 for i in range(0x110000)], dtype=np.uint8)
 
 
-def fit(sample: list[tuple[str, str]], symbols_per_row: int = 8000, symbols_per_language: int = 80_000, letters: int = 120) -> Model:
+def fit(sample: list[tuple[str, str]], symbols_per_row: int = 8000, symbols_per_language: int = 40_000, letters: int = 120) -> Model:
     """A model of (text, language) rows.  The bounds keep tables small: about 2 * symbols_per_language states each."""
     texts: dict[str, list[str]] = {}
     for text, lang in sample:
@@ -218,6 +218,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordcache.release()
         parser = Parser(sent.value)
         for batch in batches:
             got = predicted(parser, batch.column(2))
@@ -234,12 +235,14 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without any language (``und``) go; the rest stay as they are."""
+    common.bounded_batches(spark)
     usable = docs.select("doc_id", "text", "lang")
     model = fit(labelled_sample(usable))
     sent = spark.sparkContext.broadcast(model)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordcache.release()
         parser = Parser(sent.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))

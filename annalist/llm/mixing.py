@@ -188,6 +188,7 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stands in the output as often as the mix takes it (0 to 3 times)."""
+    common.bounded_batches(spark)
     row = "_annalist_row"
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     sized = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))

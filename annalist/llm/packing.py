@@ -253,4 +253,5 @@ def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: where each piece of each document stands."""
+    common.bounded_batches(spark)
     return pack_documents(docs.select("doc_id", "text"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordcache
 
 # The base patterns, the order of kinds, and the least lengths.
 KINDS = ("assign", "access", "hex", "crf")
@@ -315,6 +315,7 @@ def scan(documents: DataFrame, model: Crf) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordcache.release()
         scanner = Scanner(sent.value)
         for batch in batches:
             rows = []
@@ -347,10 +348,12 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced by a mark and n_chars follows; every document stays."""
+    common.bounded_batches(spark)
     sent = spark.sparkContext.broadcast(train(training_sample(docs.select("doc_id", "text"))))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordcache.release()
         scanner = Scanner(sent.value)
         for batch in batches:
             text, n = batch.column(names.index("text")).to_pylist(), None

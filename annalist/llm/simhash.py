@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordcache
 from .graph import components
 
 SHINGLE = 3
@@ -65,6 +65,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordcache.release()
         for batch in batches:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column(len(others))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(fp)], [*(f.name for f in others), "fp"])
@@ -188,6 +189,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by their place in the stage's input files, which both reads see alike.
     """
+    common.bounded_batches(spark)
     row = "_annalist_row"
     marked = common.materialize(fingerprints(docs.select("doc_id", "text").withColumn(row, F.monotonically_increasing_id())), "simhash")
     root = common.materialize(clusters(marked), "roots")

@@ -97,3 +97,8 @@ def tokenizer(path: str, keeps_space: bool, dtype: str = "<u2") -> ChunkTokenize
     if key not in _loaded:
         _loaded[key] = ChunkTokenizer(path, keeps_space, dtype)
     return _loaded[key]
+
+
+def release() -> None:
+    """Lets go of this worker's caches; Spark reuses Python workers for tasks of other operators."""
+    _loaded.clear()
