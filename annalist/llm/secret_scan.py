@@ -297,8 +297,10 @@ class Scanner:
 
 def training_sample(documents: DataFrame, sample_rows: int = 300, longest: int = 20_000) -> list[str]:
     """Texts of at most ``sample_rows`` rows with long digit-bearing tokens, by a hash of doc_id; each of at most ``longest`` characters."""
-    usable = documents.where(F.col("text").rlike("[A-Za-z0-9+/_.=-]{16}") & F.col("text").rlike("[0-9]") & (F.length("text") <= longest))
-    rows = usable.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).collect()
+    usable = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[A-Za-z0-9+/_.=-]{16}") & F.col("text").rlike("[0-9]") & (F.length("text") <= longest))
+    order = F.xxhash64("doc_id")
+    ids = [r.doc_id for r in usable.select("doc_id").orderBy(order, "doc_id").limit(sample_rows).collect()]
+    rows = usable.select("doc_id", "text").where(F.col("doc_id").isin(ids)).orderBy(order, "doc_id", "text").limit(sample_rows).collect() if ids else []
     return [r.text for r in rows]
 
 
