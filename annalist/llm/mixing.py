@@ -187,11 +187,14 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document stands in the output as often as the mix takes it (0 to 3 times)."""
+    """Pipeline stage: each document stands in the output as often as the mix takes it (0 to 3 times).
+
+    What is taken grows with the documents, so the join is a merge at every size.
+    """
     common.bounded_batches(spark)
     row = "_annalist_row"
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     sized = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
     taken = draw(sized).where("copies > 0").select(F.col("row").alias(row), "copies")
-    out = numbered.join(taken, row).withColumn("_annalist_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = numbered.join(taken.hint("merge"), row).withColumn("_annalist_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
