@@ -4,15 +4,15 @@ Both vocabularies used here cut a text into pre-tokens before BPE, and no pre-to
 non-space character into white space.  A text is therefore encoded exactly by encoding its chunks
 (white space before a word, and the word) one by one, and a chunk by encoding its pre-tokens.  The
 tokenizers library encodes each distinct pre-token once per Python worker; what repeats comes from
-the caches.  They are emptied at ``max_entries``, so memory is bounded.
+the caches.  At ``max_entries`` they lose the half that came last, so memory is bounded.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
+from itertools import chain, islice
 
-import numpy as np
 import regex
 
 # The characters with the Unicode property White_Space.
@@ -28,18 +28,17 @@ _PLAIN = re.compile("[\x21-\x7e\xa1-įı-ɏ]+")
 
 
 class ChunkTokenizer:
-    """Encodes texts to packed little-endian ids.
+    """Encodes texts to packed ids of 16 bits in the machine's (little-endian) order.
 
     keeps_space: whether the vocabulary encodes white space (byte-level BPE) or drops it and case.
-    dtype: numpy type of the packed ids.
     """
 
-    def __init__(self, path: str, keeps_space: bool, dtype: str = "<u2", max_entries: int = 600_000, longest_cached: int = 40):
+    def __init__(self, path: str, keeps_space: bool, max_entries: int = 600_000, longest_cached: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_space, self.dtype = keeps_space, dtype
+        self.keeps_space = keeps_space
         self.findall = (_WITH_SPACE if keeps_space else _WORDS).findall
         self.pieces = regex.compile(BYTE_LEVEL if keeps_space else WORD_LEVEL).findall
         self.max_entries, self.longest_cached = max_entries, longest_cached
@@ -47,25 +46,37 @@ class ChunkTokenizer:
         self.piece_ids: dict[str, bytes] = {}
 
     def _split(self, chunk: str) -> list[str]:
-        """The chunk's pre-tokens, or itself where its normal form may cross them."""
-        if self.keeps_space:
-            return self.pieces(chunk)
-        return self.pieces(chunk.lower()) if _PLAIN.fullmatch(chunk) else [chunk]
+        """The chunk's pre-tokens, or itself where its normal form may cross them.
+
+        Letters alone, also before a full stop or comma, need no pattern.
+        """
+        if not self.keeps_space:
+            if not _PLAIN.fullmatch(chunk):
+                return [chunk]
+            chunk = chunk.lower()
+        if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha():
+            return [chunk]
+        if chunk[-1] in ".," and (chunk[:-1].isalpha() or chunk[0] == " " and chunk[1:-1].isalpha()):
+            return [chunk[:-1], chunk[-1]]
+        return self.pieces(chunk)
+
+    def _thin(self, cache: dict[str, bytes]) -> None:
+        """Drops the half that came last: what is frequent came early."""
+        if len(cache) > self.max_entries:
+            for k in list(islice(reversed(cache), len(cache) // 2)):
+                del cache[k]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         known, pieces = self.chunk_ids, self.piece_ids
-        if len(known) > self.max_entries:
-            known.clear()
-        if len(pieces) > self.max_entries:
-            pieces.clear()
+        self._thin(known)
+        self._thin(pieces)
         chunks = [self.findall(t) for t in texts]
         new = list(set(chain.from_iterable(chunks)).difference(known))
         split = [self._split(c) for c in new]
         unknown = list(set(chain.from_iterable(split)).difference(pieces))
-        made = {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True)}
-        pieces.update(made)
-        known.update((c, b"".join([pieces[p] for p in s])) for c, s in zip(new, split, strict=True))
+        pieces.update((p, array("H", e.ids).tobytes()) for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True))
+        known.update((c, pieces[s[0]] if len(s) == 1 else b"".join([pieces[p] for p in s])) for c, s in zip(new, split, strict=True))
         out = [b"".join(map(known.__getitem__, c)) for c in chunks]
         for c in new:
             if len(c) > self.longest_cached:
@@ -91,11 +102,11 @@ def slices(texts: list[str], characters: int = 2_000_000):
 _loaded: dict[tuple, ChunkTokenizer] = {}
 
 
-def tokenizer(path: str, keeps_space: bool, dtype: str = "<u2") -> ChunkTokenizer:
+def tokenizer(path: str, keeps_space: bool) -> ChunkTokenizer:
     """One per Python worker."""
-    key = (path, keeps_space, dtype)
+    key = (path, keeps_space)
     if key not in _loaded:
-        _loaded[key] = ChunkTokenizer(path, keeps_space, dtype)
+        _loaded[key] = ChunkTokenizer(path, keeps_space)
     return _loaded[key]
 
 
