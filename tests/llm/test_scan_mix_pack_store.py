@@ -43,6 +43,45 @@ def test_crf_finds_new_secrets_and_leaves_the_rest(model):
     assert hits >= 0.95 * (hits + misses) and wrong <= 3
 
 
+SHORT = ["pwd = Hunter2xyz9", "passphrase: Tr0ub4dor3x", "Authorization: Bearer aBcDeFgHiJkLmNoPqRsTuVwXyZaBcD"]
+
+
+@pytest.mark.parametrize("text", SHORT)
+def test_short_and_digitless_secrets_are_found(model, text):
+    start = text.rindex(" ") + 1
+    assert scan.Scanner(model).spans(f"some words\n{text}\nother words") == [(11 + start, 3, 11 + len(text))]
+
+
+def test_key_blocks_are_found_whole(model):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    pick = lambda more, n: "".join(rng.choice(letters + more) for _ in range(n))
+    whole = 0
+    for _ in range(20):
+        body = "\n".join([pick("0123456789+/", 64), pick("", 64), pick("0123456789+/", 64), pick("", 64), pick("0123", rng.randint(5, 30)) + "=="])
+        text = f"words before\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\nwords behind"
+        whole += scan.Scanner(model).spans(text) == [(text.index(body), 3, text.index(body) + len(body))]
+    assert whole >= 19
+
+
+def test_cut_chains_decode_as_whole_ones(model):
+    texts = [t for t, _ in scan._synthetic(seed=5, each=4)] + SHORT + ["", "\x1c a\u3000b é+ß= ǅ7 " * 3, "\0a b\0 " + "x" * 300]
+    texts.append(" ".join(texts))
+    tokens, labels = scan.Tokens(texts), []
+    for text in texts:
+        spans = scan.admitted(text)
+        for chain in scan.runs(text, spans):
+            labels.append((chain, len(labels)))
+    assert [(s, e) for c, _ in labels for s, e in c] == list(zip(tokens.start.tolist(), tokens.end.tolist(), strict=True))
+    assert np.flatnonzero(tokens.first).tolist() == np.cumsum([0, *(len(c) for c, _ in labels)])[:-1].tolist()
+    rows, at, kept = tokens.rows(), 0, model.open(tokens)
+    assert kept.mean() < 0.5
+    for chain, _ in labels:
+        path = np.array(model.viterbi(rows[at : at + len(chain)]))
+        assert not (path[~kept[at : at + len(chain)]] > 0).any()
+        at += len(chain)
+
+
 def test_viterbi_equals_enumeration(model):
     from itertools import product
 
