@@ -4,7 +4,8 @@ Both vocabularies used here cut a text into pre-tokens before BPE, and no pre-to
 non-space character into white space.  A text is therefore encoded exactly by encoding its chunks
 (white space before a word, and the word) one by one, and a chunk by encoding its pre-tokens.  The
 tokenizers library encodes each distinct pre-token once per Python worker; what repeats comes from
-the caches.  At ``max_entries`` they lose the half that came last, so memory is bounded.
+the caches.  Texts that hold an added token of the vocabulary (``<|endoftext|>`` and the like, which the
+library takes out before it cuts anything) are encoded whole.  At ``max_entries`` they lose the half that came last, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Neither vocabulary normalizes its added tokens: they stand in a text as they are, or not at all.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         self.findall = (_WITH_SPACE if keeps_space else _WORDS).findall
         self.pieces = regex.compile(BYTE_LEVEL if keeps_space else WORD_LEVEL).findall
@@ -71,13 +73,16 @@ class ChunkTokenizer:
         known, pieces = self.chunk_ids, self.piece_ids
         self._thin(known)
         self._thin(pieces)
-        chunks = [self.findall(t) for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        chunks = [[] if i in whole else self.findall(t) for i, t in enumerate(texts)]
         new = list(set(chain.from_iterable(chunks)).difference(known))
         split = [self._split(c) for c in new]
         unknown = list(set(chain.from_iterable(split)).difference(pieces))
         pieces.update((p, array("H", e.ids).tobytes()) for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True))
         known.update((c, pieces[s[0]] if len(s) == 1 else b"".join([pieces[p] for p in s])) for c, s in zip(new, split, strict=True))
         out = [b"".join(map(known.__getitem__, c)) for c in chunks]
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
+            out[i] = array("H", e.ids).tobytes()
         for c in new:
             if len(c) > self.longest_cached:
                 del known[c]

@@ -234,6 +234,27 @@ def test_cached_ids_are_the_librarys(path, space):
             assert list(np.frombuffer(ids, "<u2")) == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path, space", [(token_store.vocabulary(), True), (packing.vocabulary(), False)])
+def test_added_tokens_are_those_of_a_fresh_tokenizer(path, space):
+    fresh, own = Tokenizer.from_file(path), wordcache.ChunkTokenizer(path, space, max_entries=40)
+    marks = ["a <|endoftext|> b", "<|startoftext|>A  b<|endoftext|><|endoftext|>", "x<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext|></w>\n"]
+    texts = ODD + marks + [f"{a} {b}" for a in ODD for b in marks] + [b + a for a in ODD for b in marks]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert list(np.frombuffer(ids, "<u2")) == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_op4_and_op7(spark):
+    from annalist.llm import common
+
+    rows = [(1, "a <|endoftext|> b"), (2, "<|startoftext|> c<|endoftext|>")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS length", "0 AS item", "0 AS start")
+    crc = lambda path, text, end: zlib.crc32(np.array([*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, end], "<u4").tobytes())
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack_documents(df).collect()} == {i: crc(packing.vocabulary(), t, 1) for i, t in rows}
+    folder = common.scratch(spark, "t")
+    got = token_store.decode(token_store.encode(df, folder, token_store.vocabulary()), folder).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {i: crc(token_store.vocabulary(), t, 2) for i, t in rows}
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 200_000])
 def test_files_come_back(n):
     rng = np.random.default_rng(n)
