@@ -234,18 +234,27 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any language (``und``) go; the rest stay as they are."""
+    """Pipeline stage: documents without any letter go; where lang is null and there is a model, the predicted one is filled in.
+
+    Without a model (no usable labelled row outside the held-out fold) null stays null.
+    """
     common.bounded_batches(spark)
     usable = docs.select("doc_id", "text", "lang")
     model = fit(labelled_sample(usable))
-    sent = spark.sparkContext.broadcast(model)
+    sent, has_model = spark.sparkContext.broadcast(model), bool(model.languages)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wordcache.release()
         parser = Parser(sent.value)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([lang != UND for lang, _ in predicted(parser, column)], pa.bool_()))
+            at = {name: batch.schema.get_field_index(name) for name in ("text", "lang")}
+            batch = batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at["text"]).to_pylist()], pa.bool_()))
+            labels = batch.column(at["lang"])
+            if has_model and labels.null_count:
+                found = iter(predicted(parser, batch.column(at["text"]).filter(labels.is_null())))
+                labels = pa.array([next(found)[0] if x is None else x for x in labels.to_pylist()], labels.type)
+                batch = batch.set_column(at["lang"], batch.schema.field(at["lang"]), labels)
+            yield batch
 
     return docs.mapInArrow(run, schema)

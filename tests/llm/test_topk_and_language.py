@@ -130,3 +130,20 @@ def test_stage_keeps_what_has_a_language(spark):
     df = spark.createDataFrame([(1, "abc " * 60, "x", "s"), (2, None, "x", "s"), (3, "123", None, None), (4, "abc", None, "s")], "doc_id long, text string, lang string, source string")
     out = lang.stage(spark, df, "")
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
+def test_stage_keeps_letters_without_a_model(spark):
+    rows = [(1, "abc", None), (2, "123", None), (3, None, None), (4, "語 12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(map(tuple, lang.stage(spark, df, "").collect())) == [rows[0], rows[3]]
+    fold = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    held = spark.createDataFrame([(fold, "abc def", "x")], df.schema)
+    assert list(map(tuple, lang.stage(spark, held, "").collect())) == [(fold, "abc def", "x")]
+
+
+def test_stage_fills_missing_languages(spark):
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(free[0], "abc abd abe " * 30, "x"), (free[1], "xyz xyw xyv " * 30, "y"), (free[2], "abd abc", None), (free[3], "xyw xyz", None), (free[4], "abc", "y"), (None, "abe abd", None), (free[5], "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.text): r.lang for r in lang.stage(spark, df, "").collect()}
+    assert got == {(i, t): {None: "y" if t[0] == "x" else "x"}.get(x, x) for i, t, x in rows if t != "12"}
