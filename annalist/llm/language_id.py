@@ -5,8 +5,8 @@ from each place the longest match that occurs in the labelled text is one phrase
 symbol also is one).  c phrases over n symbols estimate the cross entropy as c * log2(N) / n, with N
 the length of the labelled text; the language that needs the fewest normalised phrases wins.
 
-Symbols are lower-case letters; anything else is one separator.  The automata are walked as dense
-tables, many windows of texts in step: phrases end at window borders, for all languages alike.
+Symbols are lower-case letters; anything else is one separator.  The automata are walked as
+tables (dense for frequent letters, sorted lists for all others), many windows of texts in step: phrases end at window borders, for all languages alike.
 
 Fitting uses a bounded sample of labelled rows (``rows_per_language``, ``symbols_per_row`` and
 ``symbols_per_language`` are the bounds); all texts are predicted whole.
@@ -74,26 +74,61 @@ class SuffixAutomaton:
         self.link[q] = self.link[cur] = clone
         return cur
 
-    def table(self, alphabet: int) -> np.ndarray:
-        """state * alphabet + symbol -> 2 * next state + (1 if a phrase ended before the symbol).
+    def table(self, alphabet: int, dense: int) -> Table:
+        """The automaton as a table of its first ``dense`` symbols and a sorted list of the moves by others.
 
-        State 0 is the start of a window; the last state stands for a phrase that is one unknown symbol.
+        A move is 2 * next state + (1 if a phrase ended before the symbol).  State 0 is the start of a
+        window; the last state stands for a phrase that is one unknown symbol.
         """
         n = len(self.next)
-        out = np.full((n + 1, alphabet), -1, dtype=np.int32)
+        out = np.full((n + 1, dense), -1, dtype=np.int32)
+        rare = []
         for state, moves in enumerate(self.next):
             for c, to in moves.items():
-                out[state, c] = 2 * to
+                if c < dense:
+                    out[state, c] = 2 * to
+                else:
+                    rare.append((state * alphabet + c, 2 * to))
         out[0] = np.where(out[0] < 0, 2 * n, out[0])
         restart = out[0] + 1
-        return np.where(out < 0, restart[None, :], out).astype(np.int32).ravel()
+        rare = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
+        again = np.full(alphabet - dense, 2 * n, dtype=np.int32)
+        begins = rare[rare[:, 0] < alphabet]
+        again[begins[:, 0] - dense] = begins[:, 1]
+        return Table(np.where(out < 0, restart[None, :], out).astype(np.int32).ravel(), dense, alphabet, rare[:, 0].copy(), rare[:, 1].astype(np.int32), again)
+
+
+@dataclass
+class Table:
+    """moves: state * dense + symbol -> move; keys, values: state * alphabet + symbol -> move, for the symbols from dense on; again: their moves from state 0."""
+
+    moves: np.ndarray
+    dense: int
+    alphabet: int
+    keys: np.ndarray
+    values: np.ndarray
+    again: np.ndarray
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The moves; rare: where symbols are from dense on."""
+        if not len(rare):
+            return self.moves[state * self.dense + symbol]
+        out = self.moves[state * self.dense + np.minimum(symbol, self.dense - 1)]
+        s, c = state[rare], symbol[rare]
+        restart = self.again[c - self.dense] + (s != 0)
+        if len(self.keys):
+            key = s.astype(np.int64) * self.alphabet + c
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            restart = np.where(self.keys[at] == key, self.values[at], restart)
+        out[rare] = restart
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
     letters: str
-    tables: list[np.ndarray]
+    tables: list[Table]
     lengths: list[int]
     codes: np.ndarray
 
@@ -105,20 +140,23 @@ class Model:
 def code_table(letters: str) -> np.ndarray:
     """Code point -> symbol: 0 a letter not in the sample, 1 no letter, else a letter of the sample."""
     known = {ord(c): i + 2 for i, c in enumerate(letters)}
-    return np.array([known.get(i, 0) if chr(i).isalpha() else 1 for i in range(0x110000)], dtype=np.uint8)
+    return np.array([known.get(i, 0) if chr(i).isalpha() else 1 for i in range(0x110000)], dtype=np.uint8 if len(letters) < 254 else np.int32)
 
 
 def fit(sample: list[tuple[str, str]], symbols_per_row: int = 8000, symbols_per_language: int = 40_000, letters: int = 120) -> Model:
-    """A model of (text, language) rows.  The bounds keep tables small: about 2 * symbols_per_language states each."""
+    """A model of (text, language) rows.  The bounds keep tables small: about 2 * symbols_per_language states each.
+
+    Every letter of the sample is a symbol of its own; the ``letters`` most frequent ones have columns in the tables.
+    """
     texts: dict[str, list[str]] = {}
     for text, lang in sample:
         texts.setdefault(lang, []).append(symbols(text)[:symbols_per_row])
     kept = {lang: " ".join(t)[:symbols_per_language] for lang, t in texts.items()}
     kept = {lang: t for lang, t in sorted(kept.items()) if t}
     counts = Counter("".join(kept.values()).replace(" ", ""))
-    alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:letters]))
+    alphabet = "".join(sorted(counts, key=lambda c: (-counts[c], c)))
     code = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 1}
-    tables = [SuffixAutomaton([code.get(c, 0) for c in t]).table(len(alphabet) + 2) for t in kept.values()]
+    tables = [SuffixAutomaton([code.get(c, 0) for c in t]).table(len(alphabet) + 2, min(len(alphabet), letters) + 2) for t in kept.values()]
     return Model(list(kept), alphabet, tables, [len(t) for t in kept.values()], code_table(alphabet))
 
 
@@ -137,12 +175,12 @@ class Parser:
 
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
         """A row for each text: its phrases by language."""
-        w, a = self.window, self.model.alphabet
+        w = self.window
         lengths = np.array([len(e) for e in encoded])
         windows = -(-lengths // w)
         owner = np.repeat(np.arange(len(encoded)), windows)
         total = int(windows.sum())
-        grid = np.ones(total * w, dtype=np.uint8)
+        grid = np.ones(total * w, dtype=self.codes.dtype)
         at = 0
         for e, n in zip(encoded, windows, strict=True):
             grid[at : at + len(e)] = e
@@ -154,13 +192,15 @@ class Parser:
         grid = np.ascontiguousarray(grid.reshape(total, w)[order].T).astype(np.int32)
         active = np.searchsorted(-sizes[order], -np.arange(w), side="left")  # windows longer than t
         out = np.zeros((len(encoded), len(self.model.tables)), dtype=np.int64)
+        dense = self.model.tables[0].dense
+        rare = [np.flatnonzero(row[:n] >= dense) for row, n in zip(grid, active, strict=True)]
         for k, table in enumerate(self.model.tables):
             state, ended = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
             for t in range(w):
                 n = int(active[t])
                 if not n:
                     break
-                v = table[state[:n] * a + grid[t, :n]]
+                v = table.step(state[:n], grid[t, :n], rare[t])
                 ended[:n] += v & 1
                 state[:n] = v >> 1
             out[:, k] = np.bincount(owner[order], weights=ended + 1.0, minlength=len(encoded))

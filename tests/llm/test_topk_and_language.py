@@ -85,6 +85,18 @@ def test_phrases_are_longest_matches():
         assert list(row) == [sum(phrases(t[i : i + 64], s) for i in range(0, len(t), 64)) for s in trained]
 
 
+def test_large_alphabets_keep_their_letters():
+    han, kana, more = ([chr(c) for c in range(a, b)] for a, b in ((0x4E00, 0x4F00), (0x4F00, 0x5000), (0xAC00, 0xAC80)))
+    made = [words(x, 1200, k) for k, x in enumerate(("abcdefg", han, kana, han[:200] + more))]
+    model = lang.fit([(t, n) for t, n in zip(made, "ahkz", strict=True)])
+    assert set(model.letters) == {c for t in made for c in t} - {" "}
+    parser = lang.Parser(model, window=64)
+    texts = [lang.symbols(words(x, 30, 50 + k)) for k, x in enumerate(("abcdefg", han, kana, more))]
+    for t, row in zip(texts, parser.phrases([parser.encode(t) for t in texts]), strict=True):
+        assert list(row) == [sum(phrases(t[i : i + 64], s) for i in range(0, len(t), 64)) for s in made]
+    assert [g[0] for g in parser.predict(texts)] == list("ahkz")
+
+
 def test_suffix_automaton_holds_all_substrings():
     seq = [1, 2, 1, 1, 2, 3, 1, 2]
     a = lang.SuffixAutomaton(seq)
