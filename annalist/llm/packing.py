@@ -2,12 +2,12 @@
 
 Documents become token pieces: only documents longer than a sequence are cut, and whole-sequence
 pieces stand alone.  The rest is bin packing.  Pieces are dealt to shards of about ``SHARD`` pieces.
-A shard is packed best-fit decreasing; where that does not reach the lower bound (the tokens divided
-by the sequence length, rounded up), islands evolve the shard's packing: crossover injects whole
-well-filled bins of one parent into another, drops the bins that hold duplicates of their pieces, and
-best-fits the displaced pieces; mutation empties the worst bins.  Each island is a task; after every
-round its elite migrates to the next island.  Then the poorly filled bins of all shards are opened and
-their pieces go to the next level, with ``FAN`` times fewer shards, until one shard is left, so at
+Islands evolve each shard's packing from best-fit packings in decreasing and in random order: crossover injects
+whole well-filled bins of one parent into another, drops the bins that hold duplicates of their pieces,
+and best-fits the displaced pieces; mutation empties the worst bins.  Each island is a task; its elite
+migrates to the next island after a round, until a packing reaches the lower bound (the tokens divided by the
+sequence length, rounded up) or the rounds are over.  Then the poorly filled bins of all shards are opened
+and their pieces go to the next level, with ``FAN`` times fewer shards, until one shard is left, so at
 most the last shard has an open bin of its own.
 
 Scale: state is a few small numbers a piece, never token ids; a task holds one shard.  The driver sees
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .wordcache import slices, tokenizer
+from .wordcache import pieces_of, tokenizer
 
 LENGTH = 4096
 END = 1
@@ -56,18 +56,18 @@ def pieces(documents: DataFrame, path: str, end: int = END, length: int = LENGTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path, keeps_space=False)
-        last = np.array([end], "<u4")
         for batch in batches:
-            ids, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
-            for a, b in slices(texts):
-                for doc_id, packed in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
-                    tokens = np.concatenate([np.frombuffer(packed, "<u2").astype("<u4"), last])
-                    for k, start in enumerate(range(0, len(tokens), length)):
-                        part = tokens[start : start + length]
-                        rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
-            if rows:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
+            for at, texts in pieces_of(batch.column(1)):
+                flat, sizes = encoder.encode(texts)
+                flat, sizes = np.insert(flat, np.cumsum(sizes), end).astype("<u4"), sizes + 1
+                cuts = -(-sizes // length)
+                doc = np.repeat(np.arange(len(sizes)), cuts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * length
+                size = np.minimum(length, sizes[doc] - start)
+                lo = (np.cumsum(sizes) - sizes)[doc] + start
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())], [f.split()[0] for f in PIECES.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -83,10 +83,10 @@ class Packing:
         return -len(self.bins), sum((f / capacity) ** 2 for f in self.fills)
 
 
-def best_fit(items: list[int], sizes: list[int], capacity: int, bins: list[list[int]], fills: list[int]) -> Packing:
-    """Adds items, largest first, each to the fullest bin that takes it."""
+def best_fit(items: list[int], sizes: list[int], capacity: int, bins: list[list[int]], fills: list[int], order: dict[int, float] | None = None) -> Packing:
+    """Adds items, largest first (or in the given order), each to the fullest bin that takes it."""
     free = sorted((capacity - f, b) for b, f in enumerate(fills) if f < capacity)
-    for i in sorted(items, key=lambda i: (-sizes[i], i)):
+    for i in sorted(items, key=(lambda i: (-sizes[i], i)) if order is None else order.__getitem__):
         s = sizes[i]
         k = bisect_left(free, (s, -1))
         if k == len(free):
@@ -131,22 +131,27 @@ def mutate(a: Packing, sizes: list[int], capacity: int, rng: random.Random) -> P
     return best_fit(items[half:], sizes, capacity, first.bins, first.fills)
 
 
-def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: random.Random, generations: int = GENERATIONS, members: int = 6) -> list[Packing]:
-    """The fittest packings after some generations; stops at the lower bound."""
+def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: random.Random, generations: int = GENERATIONS, members: int = 4) -> list[Packing]:
+    """The fittest packings after some generations (one at least); stops at the lower bound.
+
+    The first of the population that is missing is packed best-fit decreasing, others best-fit in random order.
+    """
     bound = -(-sum(sizes) // capacity)
     rank = lambda p: p.fitness(capacity)
+    items = list(range(len(sizes)))
     while len(population) < members:
-        population = [*population, mutate(rng.choice(population), sizes, capacity, rng)]
+        drawn = None if not population else {i: rng.random() for i in items}
+        population = [*population, best_fit(items, sizes, capacity, [], [], drawn)]
     for _ in range(generations):
         population = sorted(population, key=rank, reverse=True)[:members]
-        if len(population[0].bins) <= bound:
-            break
         children = []
         for _ in range(members // 2):
             a, b = rng.sample(population, 2)
             children += [crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng)]
-        population += children + [mutate(population[0], sizes, capacity, rng)]
-    return sorted(population, key=rank, reverse=True)
+        population = sorted([*population, *children, mutate(population[0], sizes, capacity, rng)], key=rank, reverse=True)
+        if len(population[0].bins) <= bound:
+            break
+    return population
 
 
 def _packing(pdf: pd.DataFrame) -> Packing:
@@ -165,26 +170,20 @@ def _bin_column(p: Packing, n: int) -> np.ndarray:
     return out
 
 
-ITEMS = "item long, length long, shard long, bin long, optimal boolean"
-ELITES = "item long, length long, shard long, bin long, island int, origin int"
-
-
-def _first(key: tuple, pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("item").reset_index(drop=True)
-    sizes = pdf["length"].tolist()
-    p = best_fit(list(range(len(sizes))), sizes, capacity, [], [])
-    return pdf.assign(bin=_bin_column(p, len(pdf)), optimal=len(p.bins) <= -(-sum(sizes) // capacity))[["item", "length", "shard", "bin", "optimal"]]
+ITEMS = "item long, length long, shard long, bin long"
+ELITES = "item long, length long, shard long, bin long, island int, origin int, optimal boolean"
 
 
 def _island(capacity: int, round_: int):
-    """The task of an island in one round: it evolves its own elite and those that came in."""
+    """The task of an island in one round: it evolves its own elite and those that came in (none in the first round)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(key[0]), int(key[1])
         members = [m.sort_values("item").reset_index(drop=True) for _, m in pdf.groupby("origin", sort=True)]
         sizes = members[0]["length"].tolist()
-        best = evolve([_packing(m) for m in members], sizes, capacity, random.Random(shard * 1000 + island * 10 + round_))[0]
-        return members[0].assign(bin=_bin_column(best, len(sizes)), island=island, origin=island)[["item", "length", "shard", "bin", "island", "origin"]]
+        best = evolve([_packing(m) for m in members] if round_ else [], sizes, capacity, random.Random(shard * 1000 + island * 10 + round_))[0]
+        optimal = len(best.bins) <= -(-sum(sizes) // capacity)
+        return members[0].assign(bin=_bin_column(best, len(sizes)), island=island, origin=island, optimal=optimal)[["item", "length", "shard", "bin", "island", "origin", "optimal"]]
 
     return run
 
@@ -192,24 +191,27 @@ def _island(capacity: int, round_: int):
 def _fittest(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     members = [m.sort_values("item").reset_index(drop=True) for _, m in pdf.groupby("origin", sort=True)]
     best = max(members, key=lambda m: _packing(m).fitness(capacity))
-    return best.assign(optimal=True)[["item", "length", "shard", "bin", "optimal"]]
+    return best[["item", "length", "shard", "bin"]]
 
 
 def pack_shards(items: DataFrame, shards: int, capacity: int = LENGTH) -> DataFrame:
-    """item, length, shard, bin of items (item, length), each shard packed for itself."""
-    dealt = items.select("item", "length").withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
-    first = common.materialize(dealt.groupBy("shard").applyInPandas(lambda key, pdf: _first(key, pdf, capacity), ITEMS), "packed")
-    open_ = first.where("not optimal")
-    if open_.isEmpty():
-        return first.select("item", "length", "shard", "bin")
+    """item, length, shard, bin of items (item, length), each shard packed for itself by its islands."""
+    dealt = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"), F.lit(0).cast("long").alias("bin"))
     islands = F.explode(F.array(*(F.lit(i) for i in range(ISLANDS))))
-    elites = open_.select("item", "length", "shard", "bin").withColumn("island", islands).withColumn("origin", F.lit(0))
+    elites = dealt.withColumn("island", islands).withColumn("origin", F.lit(0)).withColumn("optimal", F.lit(False))
+    finished = None
     for r in range(ROUNDS):
-        evolved = elites.groupBy("shard", "island").applyInPandas(_island(capacity, r), ELITES)
-        evolved = common.materialize(evolved, f"elites{r}")
-        elites = evolved.unionByName(evolved.withColumn("island", (F.col("island") + 1) % ISLANDS))  # migration
-    final = evolved.groupBy("shard").applyInPandas(lambda pdf: _fittest(pdf, capacity), ITEMS)
-    return common.materialize(first.where("optimal").unionByName(final), "shards").select("item", "length", "shard", "bin")
+        evolved = common.materialize(elites.groupBy("shard", "island").applyInPandas(_island(capacity, r), ELITES), f"elites{r}")
+        if r == ROUNDS - 1:
+            finished = evolved if finished is None else finished.unionByName(evolved)
+            break
+        marked = evolved.join(evolved.groupBy("shard").agg(F.max("optimal").alias("done")), "shard")
+        closed, rest = marked.where("done").drop("done"), marked.where("not done").drop("done")
+        finished = closed if finished is None else finished.unionByName(closed)
+        if rest.isEmpty():
+            break
+        elites = rest.unionByName(rest.withColumn("island", (F.col("island") + 1) % ISLANDS))  # migration
+    return common.materialize(finished.groupBy("shard").applyInPandas(lambda pdf: _fittest(pdf, capacity), ITEMS), "shards")
 
 
 def pack(items: DataFrame, capacity: int = LENGTH, shard: int = SHARD) -> DataFrame:

@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .wordcache import slices, tokenizer
+from .wordcache import pieces_of, release, tokenizer
 
 END = 2
 LONGEST = 16
@@ -143,14 +144,14 @@ def decode_blocks(stream: np.ndarray, checkpoints: np.ndarray, counts: np.ndarra
     d = stream[base:].astype(np.uint32)
     window = (d[:-2] << 16) | (d[1:-1] << 8) | d[2:]
     at = checkpoints.astype(np.int64) - 8 * base
-    out = np.zeros((len(at), int(counts.max())), np.uint16)
-    for k in range(out.shape[1]):
+    out = np.zeros((int(counts.max()), len(at)), np.uint16)
+    for k in range(out.shape[0]):
         live = slice(None) if k < counts[-1] else slice(0, len(at) - 1)  # only the last block may be shorter
         p = at[live]
         peek = (window[p >> 3] >> (8 - (p & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
-        out[live, k] = symbol[peek]
+        out[k, live] = symbol[peek]
         at[live] = p + size[peek]
-    return np.concatenate([out[:-1].ravel(), out[-1, : int(counts[-1])]])
+    return np.concatenate([out[:, :-1].T.ravel(), out[: int(counts[-1]), -1]])
 
 
 # files
@@ -161,21 +162,23 @@ MANIFEST = "part int, path string, docs long, tokens long, counts binary"
 
 def _tokenize(folder: str, path: str, end: int, vocab: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = tokenizer(path, keeps_space=True), np.array([end], "<u2").tobytes()
+        encoder = tokenizer(path, keeps_space=True)
         counts, docs, tokens, sink, writer = np.zeros(vocab, np.int64), 0, 0, None, None
         files, top = common.filesystem(folder)
         name = f"{top}/{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                packed = [p + tail for p in encoder.encode(texts[a:b])]
+            for at, texts in pieces_of(batch.column(1)):
+                flat, sizes = encoder.encode(texts)
+                flat = np.insert(flat, np.cumsum(sizes), end)
                 if writer is None:
                     files.create_dir(top, recursive=True)
                     sink = files.open_output_stream(name)
-                    writer = pa.ipc.new_file(sink, _WAITING, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                writer.write_batch(pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(packed, pa.binary())], schema=_WAITING))
-                counts += np.bincount(np.frombuffer(b"".join(packed), "<u2"), minlength=vocab)
-                docs, tokens = docs + b - a, tokens + sum(map(len, packed)) // 2
+                    writer = pa.ipc.new_file(sink, _WAITING, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+                edges = np.concatenate([[0], np.cumsum(sizes + 1)]) * 2
+                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat)])
+                writer.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), packed], schema=_WAITING))
+                counts += np.bincount(flat, minlength=vocab)
+                docs, tokens = docs + len(texts), tokens + len(flat)
         if writer is not None:
             writer.close()
             sink.close()
@@ -194,21 +197,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
 
-def write_file(sink, batches: Iterator[tuple[list, list[bytes]]], lengths: np.ndarray, start: int) -> tuple[int, int]:
+def write_file(sink, batches: Iterator[tuple[pa.Array, pa.Array]], lengths: np.ndarray, start: int) -> tuple[int, int]:
     """One file of (doc_ids, packed ids) batches; its documents and tokens."""
-    bits, ids, sizes, checks, tokens = BitWriter(lengths), [], [], [], 0
+    bits, ids, known, sizes, checks, tokens = BitWriter(lengths), [], [], [], [], 0
     for doc_ids, packed in batches:
-        ids += doc_ids
-        sizes += [len(p) // 2 for p in packed]
-        flat = np.frombuffer(b"".join(packed), "<u2")
-        for lo in range(0, len(flat), 1 << 20):
-            part = flat[lo : lo + (1 << 20)]
+        ids.append(pc.fill_null(doc_ids, 0).to_numpy())
+        known.append(doc_ids.is_valid().to_numpy(zero_copy_only=False))
+        edges = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 2
+        sizes.append(np.diff(edges))
+        flat = np.frombuffer(packed.buffers()[2], "<u2")[edges[0] : edges[-1]]
+        for lo in range(0, len(flat), 1 << 16):
+            part = flat[lo : lo + (1 << 16)]
             at = bits.add(part)
-            checks.append(at[(-tokens) % BLOCK :: BLOCK])
+            checks.append(at[(-tokens) % BLOCK :: BLOCK].copy())
             tokens += len(part)
+    ids, known, sizes = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((ids, np.int64), (known, bool), (sizes, np.int32)))
     stream = bits.finish()
-    known = np.array([i is not None for i in ids], bool)
-    sections = [zlib.compress(lengths.tobytes(), 6), np.packbits(known).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), np.concatenate([*checks, np.empty(0, np.int64)]).astype("<u8").tobytes(), stream]
+    sections = [zlib.compress(lengths.tobytes(), 6), np.packbits(known).tobytes(), ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), np.concatenate([*checks, np.empty(0, np.int64)]).astype("<u8").tobytes(), stream]
     head = json.dumps({"docs": len(ids), "tokens": tokens, "start": start, "bits": bits.bits, "block": BLOCK, "sections": [len(s) for s in sections]}).encode()
     sink.write(MAGIC + struct.pack("<I", len(head)) + head)
     for s in sections:
@@ -216,8 +221,8 @@ def write_file(sink, batches: Iterator[tuple[list, list[bytes]]], lengths: np.nd
     return len(ids), tokens
 
 
-def read_file(raw: bytes, slice_blocks: int = 2048) -> Iterator[tuple[list, np.ndarray, np.ndarray, int]]:
-    """Runs of documents: their ids, sizes, tokens, and the number of tokens before the run."""
+def read_file(raw: bytes, slice_blocks: int = 1024) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """Runs of documents: their ids (an array with nulls), sizes, tokens, and the number of tokens before the run."""
     if not raw.startswith(MAGIC):
         raise ValueError("not a file of this format")
     (n,) = struct.unpack_from("<I", raw, len(MAGIC))
@@ -244,15 +249,18 @@ def read_file(raw: bytes, slice_blocks: int = 2048) -> Iterator[tuple[list, np.n
         done = int(np.searchsorted(ends, min(head["tokens"], (lo + len(c)) * head["block"]), "right"))
         if done > doc:
             n = int(sizes[doc:done].sum())
-            yield [int(i) if k else None for i, k in zip(ids[doc:done], known[doc:done], strict=True)], sizes[doc:done], held[:n], before
+            yield pa.array(ids[doc:done], mask=~known[doc:done]), sizes[doc:done], held[:n], before
             held, before, doc = held[n:], before + n, done
 
 
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def encode(documents: DataFrame, folder: str, path: str, end: int = END, docs_per_file: int = 50_000) -> DataFrame:
-    """Writes documents (doc_id, text) as coded files in the folder; the manifest: part, path, start, docs, tokens."""
+def encode(documents: DataFrame, folder: str, path: str, end: int = END) -> DataFrame:
+    """Writes documents (doc_id, text) as coded files in the folder; the manifest: part, path, start, docs, tokens.
+
+    There are as many files as the input has partitions, so a file's size is bounded as theirs is.
+    """
     spark: SparkSession = documents.sparkSession
     from tokenizers import Tokenizer
 
@@ -260,7 +268,7 @@ def encode(documents: DataFrame, folder: str, path: str, end: int = END, docs_pe
     assert vocab <= 1 << 16
     waiting = common.scratch(spark, "ids")
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chosen.count() // docs_per_file))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chosen.rdd.getNumPartitions())
     dealt = chosen.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = common.materialize(dealt.mapInArrow(_tokenize(waiting, path, end, vocab), MANIFEST), "ids-manifest")
     counts = np.zeros(vocab, np.int64)
@@ -273,6 +281,7 @@ def encode(documents: DataFrame, folder: str, path: str, end: int = END, docs_pe
         start += r.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         source, _ = common.filesystem(waiting)
         target, top = common.filesystem(folder)
         for batch in batches:
@@ -282,7 +291,7 @@ def encode(documents: DataFrame, folder: str, path: str, end: int = END, docs_pe
                 with source.open_input_file(name) as f, target.open_output_stream(out) as sink:
                     reader = pa.ipc.open_file(f)
                     parts = (reader.get_batch(i) for i in range(reader.num_record_batches))
-                    docs, tokens = write_file(sink, ((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in parts), sent.value, before)
+                    docs, tokens = write_file(sink, ((b.column(0), b.column(1)) for b in parts), sent.value, before)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out]), pa.array([before], pa.int64()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], ["part", "path", "start", "docs", "tokens"])
 
     tasks = spark.createDataFrame(rows, "part int, path string, start long")
@@ -296,6 +305,7 @@ def decode(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         source, _ = common.filesystem(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
@@ -304,7 +314,7 @@ def decode(manifest: DataFrame, folder: str) -> DataFrame:
                 for ids, sizes, tokens, before in read_file(raw):
                     wide, edges = tokens.astype("<u4"), np.concatenate([[0], np.cumsum(sizes)])
                     crc = [zlib.crc32(wide[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(edges[:-1] + before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(edges[:-1] + before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = manifest.count()
     return manifest.select("path").repartition(max(1, n)).mapInArrow(run, RESULT)
