@@ -4,16 +4,18 @@ Vectors are integers.  A block of candidates is laid out vertically (one contigu
 dimension).  For each query, inner products are accumulated dimension block by dimension block; after
 each block a candidate survives only if its partial score plus the bound on the mass that remains
 (Cauchy-Schwarz over the dimensions still to come) can reach the query's current k-th score, and the
-survivors are compacted.  The result is exact: bounds are rounded up, and ties survive.
-
-Scale: the query set is read in groups of at most ``group`` vectors, whose size is what is sent to
-the executors; each group is one pass over all candidates, and only k rows a query and task are
-shuffled.
-
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part.
-Vectors of different lengths are not compared.  A candidate with the query's own vec_id is the query
-itself.  Repeated rows with one vec_id count once (the least vector).  An empty table gives no rows.
-Rows with a null vec_id take no part.
+survivors are compacted.  The result is exact at every magnitude: bounds are rounded up, in integers
+where doubles would not do, and ties survive.
+
+Scale: the query set is read in groups of about ``group`` vectors, whose size is what is sent to
+the executors; each group is one pass over all candidates as they lie, and only k rows a query and task
+are shuffled.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components, or one whose integer
+does not fit a long, take no part.  Vectors of different lengths are not compared.  A candidate with the
+query's own vec_id is the query itself.  Candidates are rows: one that is repeated is found as often.  Equal
+query rows count once; different vectors of one query vec_id are searched each and share its ranks.  Scores
+beyond a long count as the nearest long.  An empty table gives no rows.  Rows with a null vec_id take no part.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ from pyspark.sql import functions as F
 from . import common
 
 SCHEMA = "query_id long, vec_id long, score long"
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantize(vectors: DataFrame, vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """vec_id, v: floor(scale * x) of every component as long; unusable vectors are left out."""
     x = F.col(vector)
-    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * F.lit(scale)) < F.lit(2.0**63)))
     return vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("long")).alias("v"))
 
 
@@ -55,7 +58,6 @@ class BlockSearch:
         self.ids, self.q, self.k, self.step = ids, queries, k, step
         d = queries.shape[1]
         self.cuts = list(range(0, d, step)) + [d]
-        self.exact_float = True
         self.rest = self._rest(queries)
         self.best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
 
@@ -65,21 +67,31 @@ class BlockSearch:
         mass = np.stack([np.sqrt((f[:, c:] ** 2).sum(axis=1)) for c in self.cuts[1:]], axis=1)
         return mass * (1 + 1e-9)
 
+    @staticmethod
+    def _bound(partial: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """partial + rest, rounded up: both exact in the kind of numbers at hand."""
+        if partial.dtype == np.float64:
+            return partial + (rest + 1)  # below 2**53, where a sum is off by less than 1
+        more = np.ceil(rest * (1 + 1e-9)) + 1
+        return partial + (more.astype(np.int64) if partial.dtype == np.int64 else np.array([int(x) for x in more], dtype=object))
+
     def add(self, ids: np.ndarray, block: np.ndarray) -> None:
-        most = np.abs(block).max(initial=0) * 1.0 * np.abs(self.q).max(initial=0) * block.shape[1]
-        kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
+        most = float(np.abs(block.astype(np.float64)).max(initial=0)) * float(np.abs(self.q.astype(np.float64)).max(initial=0)) * block.shape[1]
+        kind = np.float64 if most < 2**50 else np.int64 if most < 2**60 else object
         vertical = np.ascontiguousarray(block.T).astype(kind)
         queries, rest = self.q.astype(kind), self._rest(block)
         for n, own in enumerate(self.ids):
             scores, found = self.best[n]
             floor = scores[-1] if len(scores) == self.k else None
+            if floor is not None and floor == _LEAST:
+                floor = None  # scores below a long tie with it
             alive, partial = None, 0
             for b, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
                 part = vertical[lo:hi] if alive is None else vertical[lo:hi, alive]
                 partial = partial + queries[n, lo:hi] @ part
                 if floor is not None:
-                    bound = partial + self.rest[n, b] * (rest[:, b] if alive is None else rest[alive, b]) + 0.5
-                    keep = np.nonzero(bound >= floor)[0]
+                    bound = self._bound(partial, self.rest[n, b] * (rest[:, b] if alive is None else rest[alive, b]))
+                    keep = np.nonzero(bound >= (int(floor) if kind is object else floor))[0]
                     if len(keep) < len(bound):
                         alive, partial = keep if alive is None else alive[keep], partial[keep]
                         if not len(alive):
@@ -87,17 +99,11 @@ class BlockSearch:
             got = ids if alive is None else ids[alive]
             if not len(got):
                 continue
-            partial = np.asarray(partial)
-            partial = partial.astype(np.int64) if kind is not object else np.array([int(x) for x in partial], dtype=object)
+            partial = np.array([min(max(int(x), _LEAST), _MOST) for x in partial], np.int64) if kind is object else np.asarray(partial).astype(np.int64)
             other = got != own
             scores, found = np.concatenate([scores, partial[other]]), np.concatenate([found, got[other]])
-            if len(scores) > self.k:
-                order = np.lexsort((found, -scores))[: self.k]
-                scores, found = scores[order], found[order]
-            else:
-                order = np.lexsort((found, -scores))
-                scores, found = scores[order], found[order]
-            self.best[n] = scores, found
+            order = np.lexsort((found, ~scores))[: self.k]
+            self.best[n] = scores[order], found[order]
 
     def rows(self) -> Iterator[tuple[int, int, int]]:
         for own, (scores, found) in zip(self.ids, self.best, strict=True):
@@ -110,15 +116,14 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, group: int = 1
     queries, candidates: (vec_id, v array<long>), as quantize() returns them.
     """
     spark = candidates.sparkSession
-    once = lambda df: df.groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = common.materialize(once(queries), "queries")
+    asked = common.materialize(queries.select("vec_id", "v").distinct(), "queries")
     n = asked.count()
     rows = spark.createDataFrame([], SCHEMA)
     groups = max(1, -(-n // group))
-    of = F.pmod(F.xxhash64("vec_id"), F.lit(groups))
+    of = F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups))
     for g in range(groups if n else 0):
         held: dict[int, tuple[list, list]] = {}
-        for r in asked.where(of == g).orderBy("vec_id").toLocalIterator():
+        for r in asked.where(of == g).orderBy("vec_id", "v").toLocalIterator():
             ids, vectors = held.setdefault(len(r.v), ([], []))
             ids.append(r.vec_id)
             vectors.append(r.v)
@@ -136,7 +141,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, group: int = 1
                 for lo in range(0, len(got), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got[lo : lo + 50_000], strict=True)], ["query_id", "vec_id", "score"])
 
-        rows = rows.unionByName(once(candidates).mapInArrow(run, SCHEMA))
+        rows = rows.unionByName(candidates.select("vec_id", "v").mapInArrow(run, SCHEMA))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -29,7 +29,7 @@ def test_search_with_ties_repeats_and_bad_vectors(spark):
     good = {i: [math.floor(256 * x) for x in v] for i, v in rows}
     bad = [(500, None), (550, [None] * 40), (600, [float("nan")] * 40), (650, [float("inf")] * 40), (700, []), (None, [0.1] * 40), (750, [0.1, 0.2])]
     good[750] = [25, 51]
-    df = spark.createDataFrame(rows + bad + rows[:30], "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS rank")
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS rank")
     vectors = topk_search.quantize(df)
     got = topk_search.search(vectors.where("vec_id % 50 = 0"), vectors, group=2, block=16)
     assert sorted(tuple(r) for r in got.collect()) == brute(good)
@@ -49,6 +49,34 @@ def test_large_components_stay_exact():
     assert list(s.rows()) == [(1, 3, 2**60 + 2), (1, 2, 2**60 + 1)]
 
 
+def test_near_scores_beyond_doubles():
+    q = np.zeros((1, 24), np.int64)
+    q[0, [0, 1, 20]] = 2**29, 1, 5
+    c = np.zeros((2, 24), np.int64)
+    c[0, [0, 1]], c[1, [0, 20]] = (2**29, 39), (2**29, 8)
+    for order in ([0, 1], [1, 0]):
+        s = topk_search.BlockSearch(np.array([1]), q, 1)
+        for i in order:
+            s.add(np.array([10 + i]), c[[i]])
+        assert list(s.rows()) == [(1, 11, 2**58 + 40)]
+
+
+def test_scores_beyond_a_long_count_as_the_nearest():
+    big = np.array([[2**62, 2**62]])
+    for sign, want in ((1, 2**63 - 1), (-1, -(2**63))):
+        s = topk_search.BlockSearch(np.array([1]), big * sign, 2)
+        for i in (4, 3, 2):
+            s.add(np.array([i]), big - i)
+        assert list(s.rows()) == [(1, 2, want), (1, 3, want)]
+
+
+def test_repeated_rows_and_huge_components(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.0, 0.25]), (3, [1e300, 0.0])]
+    v = topk_search.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk_search.search(v.where("vec_id = 50"), v, k=3).collect()
+    assert sorted(map(tuple, got)) == [(50, 1, 1, 65536), (50, 2, 1, 65536), (50, 3, 1, 32768)]
+
+
 def test_empty_search(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     v = topk_search.quantize(df)
