@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from annalist.llm import chat_format as chat
 from annalist.llm import media, queries
@@ -42,6 +43,30 @@ def test_digests_and_examples(spark):
         assert chat.unescape(r.text[r.loss_start : r.loss_end]) == (turns[at][1] or "")
 
 
+def test_long_conversations_are_chained(spark, monkeypatch):
+    monkeypatch.setattr(chat, "WHOLE", 90)
+    monkeypatch.setattr(chat, "LINK", 200)
+    turns = [(("user", "assistant")[i % 2], f"{i} " * (i % 7)) for i in range(40)] + [("user", "q" * 50)] * 9 + [("assistant", "z"), ("user", "")]
+    rows = [{"c": 1, "turn": i, "role": r, "text": t} for i, (r, t) in enumerate(turns)]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("c", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    made = list(chat._examples(iter([batch])))
+    assert {r[3] > 0 for r in made} == {True, False} and any(not r[2] and r[1] < 21 for r in made)
+    assert all(len(r[4]) <= 400 for r in made)
+    df = spark.createDataFrame(made[::-1], chat.EXAMPLES)
+    assert tuple(chat.digest(df).first())[1:5] == digests(turns)
+    for r in chat.expand(df).collect():
+        assert chat.unescape(r.text[r.loss_start : r.loss_end]) == [t for role, t in turns if role == "assistant"][r.example]
+        assert [x[:2] for x in chat.parse(r.text)] == turns[: [i for i, (role, _) in enumerate(turns) if role == "assistant"][r.example] + 1]
+
+
+def test_stored_examples_are_whole(spark):
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_examples(df).collect(), key=lambda r: r.example)
+    assert [[x[:2] for x in chat.parse(r.text)] for r in got] == [turns[:2], turns]
+    assert [r.text[r.loss_start : r.loss_end] for r in got] == ["b", "d"]
+
+
 def test_repeated_turns_and_empty_table(spark):
     df = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "z")], "conv_id long, turn long, role string, text string")
     r = chat.digest(chat.format_examples(df)).first()
