@@ -14,12 +14,14 @@ full; content is told by the anchor's hash and an independent 64-bit hash of all
 different segments share an anchor (the borders of passages) are the suffixes of their windows sorted.
 
 Scale: a segment is a few numbers; one shuffle deals all of them, and the groups are streamed in order,
-so an anchor with a third of all segments takes constant memory.  Suffixes are sorted in bounded
-chunks of whole anchor groups; a group of more than ``GROUP`` different segments is dealt by window
-hash instead, and streamed.  Text moves by document only, to fetch the bytes of unsettled segments and
-to cut the result.
-
-Defined results: null text is empty.  Documents are ordered by doc_id (null first), and by a hash of
+so an anchor with a third of all segments takes constant memory.  Before the shuffle each batch settles its own
+repeated segments: all but the first of equal ones start later than it, and are dealt out evenly instead of by
+their anchor.  Suffixes are sorted in bounded chunks of whole anchor groups.  A heavy group (more than
+``GROUP`` different segments) is split by the longest gram there is, the whole window: its windows are dealt by
+128-bit hash, again without those that a batch has settled, streamed in order and verified byte by byte.  Text
+moves by document only, to fetch the bytes of unsettled segments and to cut the result.
+
+Defined results: null text is empty.  Documents are ordered by doc_id (null first), and by a 64-bit hash of
 their text where they share it; rows with the same doc_id and text are the same document and get the
 same result.  An empty table gives no rows.  Only doc_id and text are read.
 """
@@ -39,13 +41,13 @@ from . import common
 
 LENGTH = 100
 GRAM = 28
-GROUP = 20_000
+GROUP = 2000
 _SPAN = LENGTH - GRAM + 1  # grams in a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
 
-KEY = "ord long, tie int"
+KEY = "ord long, tie long"
 SEGMENTS = f"h long, s long, {KEY}, p int, n int"
 
 
@@ -148,10 +150,45 @@ def _emit(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
+def _settled(key: np.ndarray, place: list[np.ndarray], same: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that say nothing new, later rows): of rows with equal key and ``same`` columns the one of the least place is neither.
+
+    Rows of the same place as it say nothing new; all others are later.
+    """
+    nothing, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    order = np.argsort(key, kind="stable")
+    pair = key[order][1:] == key[order][:-1]
+    twin = np.zeros(len(key), bool)
+    twin[order[1:][pair]] = True
+    twin[order[:-1][pair]] = True
+    at = np.flatnonzero(twin)
+    if len(at):
+        columns = [c[at] for c in (*same, *place)]
+        rank = np.lexsort(columns[::-1])
+        at, columns = at[rank], [c[rank] for c in columns]
+        group = np.any([np.diff(c) != 0 for c in columns[: len(same)]], axis=0)
+        first = np.maximum.accumulate(np.concatenate([[0], np.where(group, np.arange(1, len(at)), 0)]))
+        again = first < np.arange(len(at))
+        equal = np.all([c == c[first] for c in columns[len(same) :]], axis=0)
+        nothing[at[again & equal]] = True
+        later[at[again & ~equal]] = True
+    return nothing, later
+
+
+def _elsewhere(*place: np.ndarray) -> np.ndarray:
+    """A key that deals rows out evenly."""
+    out = np.zeros(len(place[0]), np.uint64)
+    for x in place:
+        out = mixed(out ^ x.astype(np.int64).view(np.uint64))
+    return out.view(np.int64)
+
+
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments; those that a batch has settled as repeated come with -n and a key that deals them out."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         ord_, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        found: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for data, row, start, end, base in _texts(batch, 2):
             text, place, n, h = segments(data, start, end)
             if not len(text):
@@ -159,7 +196,13 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             view = memoryview(np.ascontiguousarray(data))
             s = np.array([digest(view[a:b]) for a, b in zip(place.tolist(), (place + n + LENGTH - 1).tolist(), strict=True)], np.uint64).view(np.int64)
             own = row[text]
-            yield _emit([h, s, ord_[own], tie[own], (place - start[text] + base[text]).astype(np.int32), n.astype(np.int32)], ["h", "s", "ord", "tie", "p", "n"])
+            for c, x in zip(found, (h, s, ord_[own], tie[own], (place - start[text] + base[text]).astype(np.int32), n.astype(np.int32)), strict=True):
+                c.append(x)
+        if found[0]:
+            h, s, o, t, p, n = (np.concatenate(c) for c in found)
+            nothing, later = _settled(h ^ s, [o, t, p], [h, s])
+            h, n = np.where(later, _elsewhere(o, t, p), h), np.where(later, -n, n)
+            yield _emit([x[~nothing] for x in (h, s, o, t, p, n)], ["h", "s", "ord", "tie", "p", "n"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +211,10 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     given = False
     for batch in batches:
         c = [x.to_numpy() for x in batch.columns]
+        settled = c[5] < 0
+        if settled.any():
+            yield _emit([np.zeros(int(settled.sum()), np.int8), *(x[settled] for x in (c[0], c[2], c[3], c[4], -c[5]))], ["kind", "h", "ord", "tie", "p", "n"])
+            c = [x[~settled] for x in c]
         size = len(c[0])
         if not size:
             continue
@@ -318,7 +365,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], chunk_bytes: int = 1 << 21
             size = np.diff(np.concatenate([cut, [len(found)]]))
             own = of[cut]
             first = found[cut] - base[own]
-            yield _emit([np.array([rows[i][1] for i in own], np.int64), np.array([rows[i][2] for i in own], np.int32), np.array([rows[i][3] for i in own], np.int32) + first.astype(np.int32), size.astype(np.int32)], ["ord", "tie", "p", "n"])
+            yield _emit([np.array([rows[i][1] for i in own], np.int64), np.array([rows[i][2] for i in own], np.int64), np.array([rows[i][3] for i in own], np.int32) + first.astype(np.int32), size.astype(np.int32)], ["ord", "tie", "p", "n"])
 
     held: list[tuple] = []
     size = 0
@@ -333,29 +380,56 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], chunk_bytes: int = 1 << 21
         yield from settle(held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of very large groups -> a row for each window, with two hashes of its bytes."""
+_WINDOWS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ord", pa.int64()), ("tie", pa.int64()), ("p", pa.int32()), ("body", pa.binary())])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.RecordBatch]:
+    """Segments of heavy groups -> a row for each window, with a hash of 128 bits; windows settled in a batch are dealt out, without bytes."""
     digest = xxhash.xxh3_128_digest
+
+    def windows(held: list[tuple]) -> pa.RecordBatch:
+        bodies = [r[5][i : i + LENGTH] for r in held for i in range(r[4])]
+        n = np.array([r[4] for r in held])
+        pair = np.frombuffer(b"".join(map(digest, bodies)), "<i8").reshape(-1, 2)
+        o, t = (np.repeat(np.array([r[k] for r in held], np.int64), n) for k in (1, 2))
+        p = np.concatenate([np.arange(r[3], r[3] + r[4], dtype=np.int32) for r in held])
+        a, b = pair[:, 0].copy(), pair[:, 1].copy()
+        nothing, later = _settled(a ^ b, [o, t, p], [a, b])
+        a = np.where(later, _elsewhere(o, t, p), a)
+        keep = np.flatnonzero(~nothing)
+        body = pa.array(bodies, pa.binary(), mask=later).take(pa.array(keep))
+        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (a, b, o, t, p)), body], schema=_WINDOWS)
+
+    held, size = [], 0
     for batch in batches:
-        for h, ord_, tie, p, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pair = np.frombuffer(b"".join(digest(body[i : i + LENGTH]) for i in range(n)), "<i8").reshape(n, 2)
-            yield _emit([pair[:, 0], pair[:, 1], np.full(n, ord_, np.int64), np.full(n, tie, np.int32), np.arange(p, p + n, dtype=np.int32)], ["a", "b", "ord", "tie", "p"])
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(r)
+            size += r[4]
+            if size >= rows:
+                yield windows(held)
+                held, size = [], 0
+    if held:
+        yield windows(held)
 
 
 def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows in order of (a, b, ord, tie, p) -> those that are not the first of their content."""
+    """Windows in order of (a, b, ord, tie, p) -> those that are not the first of their bytes; equal hashes are verified."""
     last: tuple | None = None
+    firsts: dict[bytes, tuple] = {}
     for batch in batches:
         rows = []
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if last is not None and r[:2] == last[:2]:
-                if r != last:
-                    rows.append((*r[2:], 1))
-            else:
-                last = r
+            if r[5] is None:
+                rows.append((*r[2:5], 1))
+                continue
+            if last is None or r[:2] != last:
+                last, firsts = r[:2], {}
+            first = firsts.setdefault(r[5], r[2:5])
+            if first != r[2:5]:
+                rows.append((*r[2:5], 1))
         if rows:
             c = list(zip(*rows, strict=True))
-            yield _emit([np.array(c[0], np.int64), np.array(c[1], np.int32), np.array(c[2], np.int32), np.array(c[3], np.int32)], ["ord", "tie", "p", "n"])
+            yield _emit([np.array(c[0], np.int64), np.array(c[1], np.int64), np.array(c[2], np.int32), np.array(c[3], np.int32)], ["ord", "tie", "p", "n"])
 
 
 # the operator
@@ -370,7 +444,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 for c, v in zip(out, (w["h"], ord_, tie, w["p"], w["n"], body.slice(w["p"], w["n"] + LENGTH - 1).to_pybytes()), strict=True):
                     c.append(v)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["h", "ord", "tie", "p", "n", "body"])
 
 
@@ -417,24 +491,24 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
     del rows
     _let_go(spark)
     full = split.where("kind = 0").select("ord", "tie", "p", "n")
-    wanted = split.where("kind = 1").groupBy("ord", "tie").agg(F.collect_list(F.struct("h", "p", "n")).alias("wanted"))
+    wanted = split.where("kind = 1").groupBy("ord", "tie").agg(F.collect_set(F.struct("h", "p", "n")).alias("wanted"))
     bodies = common.materialize(keyed.select("ord", "tie", "body").join(wanted, ["ord", "tie"]).select("ord", "tie", "body", "wanted").mapInArrow(_contexts, f"h long, {KEY}, p int, n int, body binary"), "contexts")
     _let_go(spark)
-    large = split.where("kind = 1").groupBy("h").count().where(F.col("count") > GROUP).select("h")
+    large = common.materialize(split.where("kind = 1").groupBy("h").count().where(F.col("count") > GROUP).select("h"), "heavy")
     has_large = not large.isEmpty()
     small = bodies.join(large, "h", "left_anti") if has_large else bodies
     order = ["h", "ord", "tie", "p"]
     out = full.unionByName(small.select(*order, "n", "body").repartition("h").sortWithinPartitions(*order).mapInArrow(_sorted_groups, f"{KEY}, p int, n int"))
     if has_large:
-        windows = bodies.join(large, "h", "left_semi").select(*order, "n", "body").mapInArrow(_window_rows, f"a long, b long, {KEY}, p int")
+        windows = bodies.join(large, "h", "left_semi").select(*order, "n", "body").mapInArrow(_window_rows, f"a long, b long, {KEY}, p int, body binary")
         out = out.unionByName(windows.repartition("a", "b").sortWithinPartitions("a", "b", "ord", "tie", "p").mapInArrow(_later_windows, f"{KEY}, p int, n int"))
     return out
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of documents (doc_id, text)."""
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), F.hash("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    runs = common.materialize(repeated_runs(keyed).groupBy("ord", "tie").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
+    runs = common.materialize(repeated_runs(keyed).groupBy("ord", "tie").agg(F.collect_set(F.struct("p", "n")).alias("runs")), "runs")
     _let_go(documents.sparkSession)
     return keyed.join(runs, ["ord", "tie"], "left").select("doc_id", "body", "runs").mapInArrow(_cut, RESULT)
 
