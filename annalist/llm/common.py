@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names of the columns of row_key.
+KEYS = ["_annalist_k1", "_annalist_k2"]
+
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts may be long: Arrow batches of at most so many rows keep Python workers small."""
@@ -28,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="annalist-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -64,6 +68,12 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def parts(spark: SparkSession, rows: int, per_part: int, least: int = 1) -> int:
-    """A number of partitions that grows with the rows."""
-    return max(least, -(-rows // per_part))
+def row_key(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Two columns that tell different rows apart (128 bits of a hash of all columns, or of those named).
+
+    They depend on a row's content alone, so a lost task finds them again whatever order its input comes in.
+    """
+    kept = [f for f in df.schema if columns is None or f.name in columns]
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in kept]
+    nulls = F.concat(F.lit(""), *(F.when(v.isNull(), "0").otherwise("1") for v in values))
+    return [F.xxhash64(nulls, *values).alias(KEYS[0]), F.xxhash64(*reversed(values), F.lit("annalist"), nulls).alias(KEYS[1])]

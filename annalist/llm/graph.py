@@ -15,14 +15,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = common.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = common.materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -30,8 +30,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the least node that each node of the edges (a, b) reaches.
 
-    Each round writes its edges to the shared folder; they shrink to stars.  Degrees are met by
-    partial aggregates and ordinary joins, so a hub is split like any skewed key.
+    Each round writes its edges to the shared folder; they shrink to stars.  Least neighbours are partial
+    aggregates, written before the join, so that both of its sides are dealt for the join alone: a hub's
+    edges meet one row of the other side, and Spark broadcasts that side or splits the hub as a skewed key.
     """
     spark = edges.sparkSession
     current = common.materialize(edges.where("a <> b").distinct(), "edges")

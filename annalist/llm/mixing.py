@@ -9,14 +9,14 @@ most two fractional documents.  The landing problem is what is left when a sourc
 rounding of those few that misses both totals least.
 
 Scale: documents meet in blocks of about ``block`` rows of one source (a hash of their place), each
-flown by a task of its own; what each block leaves (at most two rows) goes to the next level, with
+flown by a task of its own (blocks are dealt by a hash of the row and its repetition, so a repeated row is split too); what each block leaves (at most two rows) goes to the next level, with
 ``block`` times fewer rows, until every source has one block.  Only ids, sizes and probabilities move.
 
 Targets: sources by code point, null last, weigh 1, 2, 3 and so on again; they share all sizes by
 weight, no source above ``most`` times its own size, and what is cut off is shared among the others by
 weight until none is above.
 
-Blocks and draws follow from doc_id, not from how the input is split, so reruns agree.
+Blocks and draws follow from the rows' content, not from how the input is split, so reruns agree.
 
 Defined results: null text has size 0; documents of size 0 count as documents and take 0 words.  A
 source of size 0 has target 0.  Repeated rows are drawn one by one.  An empty table
@@ -45,21 +45,38 @@ def word_count(text: str = "text"):
     return F.coalesce(words, F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple = (1, 2, 3), most: int = 3) -> dict[str | None, float]:
-    """Words to take of each source: shares by weight, none above ``most`` times its size."""
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out, open_, left = {}, list(order), float(sum(sizes.values()))
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        for s in over:
-            out[s] = float(most * sizes[s])
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in over]
-    return out
+def targets(sources: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
+    """source, source_size, rows, target of sources (source, source_size, rows): shares by weight, none above ``most`` times its size.
+
+    Sources are numbered by sorted ranges and offsets.  A source is capped where the level (what is left, per
+    weight) passes ``most`` times its size per weight; the level only rises as more are capped, so each round
+    takes two sums over all sources, until no further one is capped.
+    """
+    spark = sources.sparkSession
+    order = [F.col("source").asc_nulls_last()]
+    dealt = sources.repartitionByRange(max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))), *order).sortWithinPartitions(*order)
+    placed = common.materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((r.part, before))
+        before += r["count"]
+    starts = spark.createDataFrame(offsets, "part long, first long")
+    kinds = F.array(*(F.lit(float(w)) for w in weights))
+    weighed = placed.join(F.broadcast(starts), part == F.col("part")).select("source", "source_size", "rows", F.get(kinds, F.pmod(place + F.col("first"), F.lit(len(weights))).cast("int")).alias("weight"))
+    weighed = common.materialize(weighed, "weights")
+    cap = F.lit(float(most)) * F.col("source_size")
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    capped, level, shared, last = F.lit(False), None, None, -1
+    while True:
+        r = weighed.agg(F.count_if(capped).alias("n"), F.sum(F.when(capped, F.col("source_size"))).alias("size"), F.sum(F.when(~capped, F.col("weight"))).alias("weight")).first()
+        if r.n == last or not r.weight:
+            break
+        last, level, shared = r.n, float(total - most * (r["size"] or 0)), r.weight
+        share = F.lit(level) * F.col("weight") / F.lit(shared)
+        capped = share > cap
+    target = cap if level is None else F.when(capped, cap).otherwise(share)
+    return common.materialize(weighed.select("source", "source_size", "rows", target.alias("target")), "targets")
 
 
 def fly(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -129,7 +146,7 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _flight(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     source, block, level, last = key
-    pdf = pdf.sort_values(["size", "doc_id", "row"], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["size", "doc_id", *common.KEYS, "nth"], kind="stable").reset_index(drop=True)
     seed = zlib.crc32(f"{source}|{block}|{level}".encode("utf-8", "surrogatepass"))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(pdf))
@@ -140,44 +157,45 @@ def _flight(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
+FLOWN = f"{common.KEYS[0]} long, {common.KEYS[1]} long, nth long, doc_id long, source string, size long, source_size long, target double, sure long, pi double, blocks long"
+
+
 def draw(documents: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, block: int = 4096) -> DataFrame:
-    """row, doc_id, source, size, source_size, target, copies for every row of documents (row, doc_id, source, size).
+    """The columns of common.KEYS, doc_id, source, size, source_size, target, copies: a row for every row of documents.
 
-    row: a number that tells rows apart.  copies: how often the mix takes the document.
+    documents: doc_id, source, size and the columns of common.KEYS, which tell different rows apart (rows that
+    share them are repeated ones and are drawn one by one).  copies: how often the mix takes the document.
     """
-    spark = documents.sparkSession
-    base = common.materialize(documents.select("row", "doc_id", "source", F.col("size").cast("long").alias("size")), "sizes")
-    totals = {r.source: (r.size or 0, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    target = targets({s: v[0] for s, v in totals.items()}, weights, most)
-    plan = [(s, size, target[s], target[s] / size if size else 0.0, max(1, -(-n // block))) for s, (size, n) in totals.items()]
-    plans = spark.createDataFrame(plan, "src string, source_size long, target double, ratio double, blocks long")
-    known = base.join(F.broadcast(plans), base.source.eqNullSafe(plans.src)).drop("src") if len(plan) < 10_000 else base.join(plans, base.source.eqNullSafe(plans.src)).drop("src")
-    sure = F.floor(F.col("ratio") + EPS)
-    level0 = known.select("row", "doc_id", "source", "size", "source_size", "target", sure.cast("long").alias("sure"), F.greatest(F.lit(0.0), F.col("ratio") - sure).alias("pi"), "blocks")
-    schema = "row long, doc_id long, source string, size long, source_size long, target double, sure long, pi double, blocks long"
-    names = [f.split()[0] for f in schema.split(", ")]
-    done, current, level = None, level0, 0
+    keys = common.KEYS
+    rows = documents.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
+    base = common.materialize(rows.groupBy(*keys, "doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    sums = base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
+    plans = targets(sums, weights, most).withColumnRenamed("source", "src")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sure = F.floor(ratio + EPS)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")
+    known = base.join(plans, base.source.eqNullSafe(plans.src)).select(*keys, each, "doc_id", "source", "size", "source_size", "target", sure.cast("long").alias("sure"), F.greatest(F.lit(0.0), ratio - sure).alias("pi"), F.ceil(F.col("rows") / block).cast("long").alias("blocks"))
+    names = [f.split()[0] for f in FLOWN.split(", ")]
+    done, current, level = None, known, 0
     fractional = lambda df: df.where((F.col("pi") > EPS) & (F.col("pi") < 1 - EPS))
     whole = lambda df: df.where((F.col("pi") <= EPS) | (F.col("pi") >= 1 - EPS))
-    most_blocks = max((p[4] for p in plan), default=1)
+    most_blocks = -(-(plans.agg(F.max("rows")).first()[0] or 0) // block)
     while True:
-        keyed = fractional(current).withColumn("b", F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), F.lit(level)), F.col("blocks"))).withColumn("level", F.lit(level)).withColumn("last", F.col("blocks") == 1)
-        flown = keyed.groupBy("source", "b", "level", "last").applyInPandas(lambda key, pdf: _flight(key, pdf)[names], schema)
-        settled = whole(current)
-        out = common.materialize(settled.unionByName(flown), f"flight{level}")
+        keyed = fractional(current).withColumn("b", F.pmod(F.xxhash64(*keys, "nth", F.lit(level)), F.col("blocks"))).withColumn("level", F.lit(level)).withColumn("last", F.col("blocks") == 1)
+        flown = keyed.groupBy("source", "b", "level", "last").applyInPandas(lambda key, pdf: _flight(key, pdf)[names], FLOWN)
+        out = common.materialize(whole(current).unionByName(flown), f"flight{level}")
         done = whole(out) if done is None else done.unionByName(whole(out))
-        if most_blocks == 1:
+        if most_blocks <= 1:
             break
         current = fractional(out).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * 2 / block)).cast("long"))
         most_blocks, level = max(1, -(-most_blocks * 2 // block)), level + 1
     copies = F.col("sure") + F.round("pi").cast("long")
-    return done.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return done.select(*keys, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """The draw over documents (doc_id, text, source); rows are told apart by their place in the input."""
-    sized = documents.select("doc_id", "source", word_count().alias("size")).withColumn("row", F.monotonically_increasing_id())
-    return draw(sized)
+    """The draw over documents (doc_id, text, source)."""
+    return draw(documents.select(*common.row_key(documents, ["doc_id", "text", "source"]), "doc_id", "source", word_count().alias("size")))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -189,12 +207,13 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stands in the output as often as the mix takes it (0 to 3 times).
 
-    What is taken grows with the documents, so the join is a merge at every size.
+    Null text has size 0, null source is a source of its own, repeated rows are drawn one by one, an empty table
+    stays empty.  Rows are told apart by a 128-bit hash of all their columns, so extra columns may have any name
+    but those of common.KEYS.  What is taken grows with the documents, so the join is a merge at every size.
     """
     common.bounded_batches(spark)
-    row = "_annalist_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    sized = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
-    taken = draw(sized).where("copies > 0").select(F.col("row").alias(row), "copies")
-    out = numbered.join(taken.hint("merge"), row).withColumn("_annalist_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    keys, n = common.KEYS, "_annalist_copies"
+    keyed = docs.select("*", *common.row_key(docs))
+    taken = draw(keyed.select(*keys, "doc_id", "source", word_count().alias("size"))).groupBy(*keys).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    once = keyed.join(taken.hint("merge"), keys).dropDuplicates(keys)
+    return once.withColumn("_annalist_copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*(F.col(f"`{c}`") for c in docs.columns))

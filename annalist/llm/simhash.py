@@ -178,21 +178,22 @@ def clusters(marked: DataFrame) -> DataFrame:
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     """The query: every document's fingerprint and component."""
     marked = common.materialize(fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text")), "simhash")
-    root = common.materialize(clusters(marked), "roots")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("m")).join(root, "fp")
-    ids = least.select("fp", "root").join(least.groupBy("root").agg(F.min("m").alias("component_id")), "root").select("fp", "component_id")
+    least = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("m")).join(clusters(marked), "fp"), "roots")
+    named = common.materialize(least.groupBy("root").agg(F.min("m").alias("component_id")), "named")
+    ids = common.materialize(least.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the least doc_id stays (of repeated rows, one).
+    """Pipeline stage: of each component the row with the least doc_id stays (null last, then by content; of repeated rows, one).
 
-    Rows are told apart by their place in the stage's input files, which both reads see alike.
+    Null text counts as empty; an empty table stays empty.  Rows are told apart by a 128-bit hash of all their
+    columns, so extra columns may have any name but those of common.KEYS.
     """
     common.bounded_batches(spark)
-    row = "_annalist_row"
-    marked = common.materialize(fingerprints(docs.select("doc_id", "text").withColumn(row, F.monotonically_increasing_id())), "simhash")
-    root = common.materialize(clusters(marked), "roots")
-    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("s"))
-    kept = first.join(root, "fp").groupBy("root").agg(F.min("s").alias("s")).select(F.col(f"s.{row}").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keys = common.KEYS
+    keyed = docs.select("*", *common.row_key(docs))
+    marked = common.materialize(fingerprints(keyed.select("doc_id", "text", *keys)), "simhash")
+    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("s"))
+    kept = common.materialize(first.join(clusters(marked), "fp").groupBy("root").agg(F.min("s").alias("s")).select(*(F.col(f"s.{k}").alias(k) for k in keys)), "kept")
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))

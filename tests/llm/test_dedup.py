@@ -160,6 +160,32 @@ def test_removal_equals_brute_force(spark, seed, monkeypatch):
     assert sorted(tuple(r)[:5] for r in sd.dedup(df).collect()) == brute(docs)
 
 
+@pytest.mark.parametrize("group", [1, 2000])
+def test_one_passage_in_every_document(spark, group, monkeypatch):
+    monkeypatch.setattr(sd, "GROUP", group)
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    hot = prose(260)
+    docs = [(i, prose(rng.randint(0, 150)) + hot + prose(rng.randint(0, 150))) for i in range(250)] + [(300 + i, hot * 2) for i in range(60)]
+    df = spark.createDataFrame(docs[::-1], "doc_id long, text string").repartition(7)
+    assert sorted(tuple(r)[:5] for r in sd.dedup(df).collect()) == brute(docs)
+
+
+def test_settled_rows_are_those_after_the_first():
+    key, place = np.array([7, 7, 5, 7, 7, 9], np.int64), [np.array([3, 1, 1, 1, 2, 0]), np.array([0, 4, 0, 4, 0, 0])]
+    nothing, later = sd._settled(key, place, [key])
+    assert later.tolist() == [True, False, False, False, True, False] and sorted(nothing[[1, 3]].tolist()) == [False, True]
+    assert not sd._settled(key, place, [np.arange(6)])[1].any()  # equal keys of different content
+
+
+def test_equal_window_hashes_are_verified():
+    import pyarrow as pa
+
+    rows = [(1, 1, 0, 0, 5, b"x"), (1, 1, 0, 0, 6, b"y"), (1, 1, 2, 0, 0, b"x"), (1, 2, 3, 0, 0, b"x"), (4, 0, 9, 0, 9, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sd._WINDOWS, strict=True)], schema=sd._WINDOWS)
+    assert [r for b in sd._later_windows(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [(2, 0, 0, 1), (9, 0, 9, 1)]
+
+
 def test_repeated_rows_nulls_and_no_rows(spark):
     rng = random.Random(4)
     t = "".join(rng.choice("abcdefgh ") for _ in range(300))

@@ -3,12 +3,14 @@ import io
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from annalist.llm import mixing, packing, queries, token_store, wordcache
+from annalist.llm import common, mixing, packing, queries, token_store, wordcache
 from annalist.llm import secret_scan as scan
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 # secrets
@@ -126,12 +128,27 @@ def test_op6(spark, sf):
 # mixing
 
 
-def test_targets_are_capped_and_reshared():
-    t = mixing.targets({"b": 100, "a": 100, "c": 10, None: 10})
-    assert sum(t.values()) == pytest.approx(220) and t["c"] == 30 and t[None] <= 30
-    assert t["a"] / t["b"] == pytest.approx(1 / 2)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
-    assert mixing.targets({"a": 5}) == {"a": 5.0}
+def plain_targets(sizes, weights=(1, 2, 3), most=3):
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, open_, left = {}, list(order), float(sum(sizes.values()))
+    while open_:
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > most * sizes[s]]
+        if not over:
+            total = sum(weight[s] for s in open_)
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: float(most * sizes[s]) for s in over}
+        left -= sum(most * sizes[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    return out
+
+
+def test_targets_are_capped_and_reshared(spark):
+    rng = random.Random(8)
+    cases = [{"b": 100, "a": 100, "c": 10, None: 10}, {}, {"a": 0}, {"a": 5}, {"a": 0, "b": 9}, {f"s{rng.random()}é": int(10 ** rng.uniform(0, 5)) for _ in range(200)} | {None: 7, "\U0001f600": 3, "\uffff": 4}]
+    for sizes in cases:
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, rows long")
+        assert {r.source: r.target for r in mixing.targets(df).collect()} == pytest.approx(plain_targets(sizes))
 
 
 def test_flight_keeps_both_totals():
@@ -148,11 +165,11 @@ def test_flight_keeps_both_totals():
 def test_draw(spark):
     rng = random.Random(1)
     rows = [(i, i if i % 50 else None, ["a", "b", "c", None][min(3, int(rng.random() ** 2 * 5))], rng.randint(0, 400)) for i in range(4000)]
-    df = spark.createDataFrame(rows, "row long, doc_id long, source string, size long")
+    rows += [(9999, None, "a", 5)] * 300  # one row many times
+    df = spark.createDataFrame(rows, f"{common.KEYS[0]} long, doc_id long, source string, size long").withColumn(common.KEYS[1], F.lit(0).cast("long"))
     got = mixing.draw(df, block=64).collect()
-    assert sorted(r.row for r in got) == list(range(4000))
-    known = df.where("doc_id is not null")
-    draws = [sorted(map(tuple, mixing.draw(x, block=64).collect())) for x in (known, known.repartition(5))]
+    assert sorted(r[0] for r in got) == [*range(4000), *[9999] * 300]
+    draws = [sorted(map(str, mixing.draw(x, block=64).collect())) for x in (df, df.repartition(5))]
     assert draws[0] == draws[1]
     for s in {r.source for r in got}:
         own = [r for r in got if r.source == s]
@@ -161,6 +178,20 @@ def test_draw(spark):
     assert mixing.draw(df.limit(0)).count() == 0
 
 
+def test_stage_of_odd_rows(spark):
+    rows = [(i, "w " * (i % 9), "ab"[i % 2], i) for i in range(60)] + [(None, None, None, 1), (7, "", None, 2)] + [(70, "x y", "a", 3)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").withColumns({"row": F.lit(1), "size": F.create_map(F.lit("k"), F.lit(2)), "target": F.lit("t")})
+    out = mixing.stage(spark, df, "")
+    assert out.columns == df.columns
+    got = Counter(r.doc_id for r in out.collect())
+    assert max(n for i, n in got.items() if i != 70) <= 3 and got[70] <= 60
+    want = plain_targets({"a": sum(len((t or "").split()) for _, t, s, _ in rows if s == "a"), "b": sum(len((t or "").split()) for _, t, s, _ in rows if s == "b"), None: 0})
+    for s in "ab":
+        assert abs(sum(len(r.text.split()) for r in out.where(F.col("source") == s).collect()) - want[s]) <= 8
+    assert sorted(map(str, mixing.stage(spark, df.repartition(3), "").collect())) == sorted(map(str, out.collect()))
+    assert mixing.stage(spark, df.limit(0), "").count() == 0
+
+
 def test_op9_and_reruns(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = sorted(map(tuple, queries.QUERIES["op9_mix_sources"](spark, sf).collect()))
