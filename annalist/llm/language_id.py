@@ -5,11 +5,13 @@ from each place the longest match that occurs in the labelled text is one phrase
 symbol also is one).  c phrases over n symbols estimate the cross entropy as c * log2(N) / n, with N
 the length of the labelled text; the language that needs the fewest normalised phrases wins.
 
-Symbols are lower-case letters; anything else is one separator.  The automata are walked as
-tables (dense for frequent letters, sorted lists for all others), many windows of texts in step: phrases end at window borders, for all languages alike.
+Symbols are lower-case letters; anything else is one separator.  The automata are walked as tables of bit
+masks (sorted lists for letters beyond the most frequent), many windows of texts in step.  Windows first start
+as if a phrase began there; then each is walked again from the state that the window before it ends in, until
+both walks meet, so phrases are those of the whole text.
 
-Fitting uses a bounded sample of labelled rows (``rows_per_language``, ``symbols_per_row`` and
-``symbols_per_language`` are the bounds); all texts are predicted whole.
+Fitting uses a bounded sample of labelled rows (``languages``, ``rows_per_language``, ``symbols_per_row``,
+``symbols_per_language`` and ``symbols_in_all`` are the bounds); all texts are predicted whole.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0.  Ties go to the smaller
 language name.  Without any labelled row everything is ``und``.  Only text and labels are read; other
@@ -74,53 +76,62 @@ class SuffixAutomaton:
         self.link[q] = self.link[cur] = clone
         return cur
 
-    def table(self, alphabet: int, dense: int) -> Table:
-        """The automaton as a table of its first ``dense`` symbols and a sorted list of the moves by others.
-
-        A move is 2 * next state + (1 if a phrase ended before the symbol).  State 0 is the start of a
-        window; the last state stands for a phrase that is one unknown symbol.
-        """
+    def table(self, alphabet: int) -> Table:
+        """The automaton as a table: bit masks of the first symbols, and a sorted list of the moves by others."""
         n = len(self.next)
-        out = np.full((n + 1, dense), -1, dtype=np.int32)
+        masks, first = np.zeros((n + 1) * _WORDS, np.uint64), np.zeros((n + 1) * _WORDS, np.int32)
+        to: list[int] = []
         rare = []
         for state, moves in enumerate(self.next):
-            for c, to in moves.items():
-                if c < dense:
-                    out[state, c] = 2 * to
-                else:
-                    rare.append((state * alphabet + c, 2 * to))
-        out[0] = np.where(out[0] < 0, 2 * n, out[0])
-        restart = out[0] + 1
+            for word in range(_WORDS):
+                first[state * _WORDS + word] = len(to)
+                own = sorted(c for c in moves if c >> 6 == word)
+                masks[state * _WORDS + word] = sum(1 << (c & 63) for c in own)
+                to += [moves[c] for c in own]
+            rare += [(state * alphabet + c, moves[c]) for c in moves if c >= _MASKED]
         rare = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
-        again = np.full(alphabet - dense, 2 * n, dtype=np.int32)
-        begins = rare[rare[:, 0] < alphabet]
-        again[begins[:, 0] - dense] = begins[:, 1]
-        return Table(np.where(out < 0, restart[None, :], out).astype(np.int32).ravel(), dense, alphabet, rare[:, 0].copy(), rare[:, 1].astype(np.int32), again)
+        root = np.full(alphabet, n, np.int32)
+        for c, state in self.next[0].items():
+            root[c] = state
+        return Table(alphabet, masks, first, np.array([*to, n], np.int32), rare[:, 0].copy(), rare[:, 1].astype(np.int32), root)
+
+
+_WORDS = 2  # masks of 64 symbols a state
+_MASKED = 64 * _WORDS
 
 
 @dataclass
 class Table:
-    """moves: state * dense + symbol -> move; keys, values: state * alphabet + symbol -> move, for the symbols from dense on; again: their moves from state 0."""
+    """Moves of an automaton.  A move is 2 * next state + (1 if a phrase ended before the symbol).
+
+    State 0 is the start of a text; the last state stands for a phrase that is one unknown symbol.
+    masks, first: by state and word of symbols, which symbols move on, and where their states begin in ``to``;
+    keys, values: state * alphabet + symbol -> state, for the symbols beyond the masks; root: states after a
+    phrase's first symbol.
+    """
 
-    moves: np.ndarray
-    dense: int
     alphabet: int
+    masks: np.ndarray
+    first: np.ndarray
+    to: np.ndarray
     keys: np.ndarray
     values: np.ndarray
-    again: np.ndarray
+    root: np.ndarray
 
     def step(self, state: np.ndarray, symbol: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """The moves; rare: where symbols are from dense on."""
-        if not len(rare):
-            return self.moves[state * self.dense + symbol]
-        out = self.moves[state * self.dense + np.minimum(symbol, self.dense - 1)]
-        s, c = state[rare], symbol[rare]
-        restart = self.again[c - self.dense] + (s != 0)
-        if len(self.keys):
-            key = s.astype(np.int64) * self.alphabet + c
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            restart = np.where(self.keys[at] == key, self.values[at], restart)
-        out[rare] = restart
+        """The moves; rare: where symbols are beyond the masks."""
+        again = (self.root[symbol] << 1) + (state != 0)
+        at = state * _WORDS + np.minimum(symbol >> 6, _WORDS - 1)
+        bit = (symbol & 63).astype(np.uint64)
+        mask = self.masks[at] >> bit
+        before = np.bitwise_count(self.masks[at] & ((np.uint64(1) << bit) - np.uint64(1)))
+        out = np.where(mask & np.uint64(1), self.to[self.first[at] + before] << 1, again)
+        if len(rare):
+            out[rare] = again[rare]
+            if len(self.keys):
+                key = state[rare].astype(np.int64) * self.alphabet + symbol[rare]
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                out[rare] = np.where(self.keys[k] == key, self.values[k] << 1, out[rare])
         return out
 
 
@@ -143,20 +154,21 @@ def code_table(letters: str) -> np.ndarray:
     return np.array([known.get(i, 0) if chr(i).isalpha() else 1 for i in range(0x110000)], dtype=np.uint8 if len(letters) < 254 else np.int32)
 
 
-def fit(sample: list[tuple[str, str]], symbols_per_row: int = 8000, symbols_per_language: int = 40_000, letters: int = 120) -> Model:
-    """A model of (text, language) rows.  The bounds keep tables small: about 2 * symbols_per_language states each.
+def fit(sample: list[tuple[str, str]], symbols_per_row: int = 8000, symbols_per_language: int = 40_000, symbols_in_all: int = 2_000_000) -> Model:
+    """A model of (text, language) rows.  The bounds keep tables small: about 2 * symbols_per_language states of 30 bytes each.
 
-    Every letter of the sample is a symbol of its own; the ``letters`` most frequent ones have columns in the tables.
+    Every letter of the sample is a symbol of its own.
     """
     texts: dict[str, list[str]] = {}
     for text, lang in sample:
         texts.setdefault(lang, []).append(symbols(text)[:symbols_per_row])
-    kept = {lang: " ".join(t)[:symbols_per_language] for lang, t in texts.items()}
+    most = min(symbols_per_language, symbols_in_all // max(1, len(texts)))
+    kept = {lang: " ".join(t)[:most] for lang, t in texts.items()}
     kept = {lang: t for lang, t in sorted(kept.items()) if t}
     counts = Counter("".join(kept.values()).replace(" ", ""))
     alphabet = "".join(sorted(counts, key=lambda c: (-counts[c], c)))
     code = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 1}
-    tables = [SuffixAutomaton([code.get(c, 0) for c in t]).table(len(alphabet) + 2, min(len(alphabet), letters) + 2) for t in kept.values()]
+    tables = [SuffixAutomaton([code.get(c, 0) for c in t]).table(len(alphabet) + 2) for t in kept.values()]
     return Model(list(kept), alphabet, tables, [len(t) for t in kept.values()], code_table(alphabet))
 
 
@@ -189,23 +201,72 @@ class Parser:
         last = np.cumsum(windows) - 1
         sizes[last[windows > 0]] = (lengths - (windows - 1) * w)[windows > 0]
         order = np.argsort(-sizes, kind="stable")
+        lane = np.empty(total, np.int64)
+        lane[order] = np.arange(total)
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # windows that have one before them
+        next_lane = np.full(total, -1)
+        next_lane[lane[follows - 1]] = lane[follows]
+        sizes, owner = sizes[order], owner[order]
         grid = np.ascontiguousarray(grid.reshape(total, w)[order].T).astype(np.int32)
-        active = np.searchsorted(-sizes[order], -np.arange(w), side="left")  # windows longer than t
+        active = np.searchsorted(-sizes, -np.arange(w), side="left")  # windows longer than t
         out = np.zeros((len(encoded), len(self.model.tables)), dtype=np.int64)
-        dense = self.model.tables[0].dense
-        rare = [np.flatnonzero(row[:n] >= dense) for row, n in zip(grid, active, strict=True)]
+        rare = [np.flatnonzero(row[:n] >= _MASKED) for row, n in zip(grid, active, strict=True)]
+        moves = np.zeros((w, total), np.int32)
         for k, table in enumerate(self.model.tables):
-            state, ended = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
+            state = np.zeros(total, dtype=np.int32)
             for t in range(w):
                 n = int(active[t])
                 if not n:
                     break
-                v = table.step(state[:n], grid[t, :n], rare[t])
-                ended[:n] += v & 1
-                state[:n] = v >> 1
-            out[:, k] = np.bincount(owner[order], weights=ended + 1.0, minlength=len(encoded))
+                moves[t, :n] = table.step(state[:n], grid[t, :n], rare[t])
+                state[:n] = moves[t, :n] >> 1
+            self._mend(table, grid, sizes, moves, state, next_lane)
+            ended = np.zeros(total, np.int64)
+            for t in range(w):
+                ended[: active[t]] += moves[t, : active[t]] & 1
+            out[:, k] = np.bincount(owner, weights=ended, minlength=len(encoded)).astype(np.int64) + (lengths > 0)
         return out
 
+    def _mend(self, table: Table, grid: np.ndarray, sizes: np.ndarray, moves: np.ndarray, state: np.ndarray, next_lane: np.ndarray, rounds: int = 6) -> None:
+        """Walks windows again from the state before them, until the walk meets the old one; so do those after a window whose end changes."""
+        open_ = np.flatnonzero(next_lane >= 0)
+        for _ in range(rounds):
+            lanes, now = next_lane[open_], state[open_]
+            changed = []
+            for t in range(self.window):
+                short = sizes[lanes] <= t
+                if short.any():  # ended before both walks met: the text ends there too
+                    lanes, now = lanes[~short], now[~short]
+                if not len(lanes):
+                    break
+                symbol = grid[t, lanes]
+                move = table.step(now, symbol, np.flatnonzero(symbol >= _MASKED))
+                apart = (move >> 1) != (moves[t, lanes] >> 1)
+                moves[t, lanes] = move
+                lanes, now = lanes[apart], move[apart] >> 1
+            else:
+                state[lanes] = now
+                changed = lanes[next_lane[lanes] >= 0]
+            open_ = changed
+            if not len(open_):
+                return
+        one, none = np.zeros(1, np.int32), np.empty(0, np.int64)
+        for start in open_.tolist():  # walks that do not meet for long: one window after the other
+            at, now = next_lane[start], int(state[start])
+            while at >= 0:
+                for t in range(int(sizes[at])):
+                    symbol = grid[t, at : at + 1]
+                    one[0] = now
+                    move = int(table.step(one, symbol, none if symbol[0] < _MASKED else np.zeros(1, np.int64))[0])
+                    met = move >> 1 == moves[t, at] >> 1
+                    moves[t, at], now = move, move >> 1
+                    if met:
+                        break
+                if met:
+                    break
+                state[at] = now
+                at = next_lane[at]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         found: list[tuple[str, float]] = [(UND, 0.0)] * len(texts)
         rows, encoded = [], []
@@ -231,17 +292,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, rows_per_language: int = 60) -> list[tuple[str, str]]:
+def labelled_sample(documents: DataFrame, rows_per_language: int = 60, languages: int = 256, characters_per_row: int = 32_000) -> list[tuple[str, str]]:
     """(text, language) of at most so many rows per language: those of 200 characters first, by a hash of doc_id.
 
-    Only ids are ranked; the texts of the rows that were picked are read afterwards.
+    Of each text at most ``characters_per_row`` are read, of languages the ``languages`` most frequent ones.
+    Only ids are ranked over all rows; the texts of the rows that were picked are read afterwards.
     """
     learn = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.length("text") < 200, F.xxhash64("doc_id"), "doc_id")
-    picked = learn.select("doc_id", "lang", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
-    ids = [r.doc_id for r in picked.select("doc_id").distinct().collect()]
-    rows = learn.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, r.text))]
+    known = [r.lang for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    if not known:
+        return []
+    order = Window.partitionBy("lang").orderBy(F.col("short"), F.xxhash64("doc_id"), "doc_id", "tie")
+    ranked = lambda df: df.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
+    rows = learn.where(F.col("lang").isin(known)).select("doc_id", "lang", (F.length("text") < 200).alias("short"), F.xxhash64("text").alias("tie"), "text")
+    picked = [(r.doc_id, r.lang, r.tie) for r in ranked(rows.drop("text")).select("doc_id", "lang", "tie").distinct().collect()]
+    mine = documents.sparkSession.createDataFrame(picked, rows.select("doc_id", "lang", "tie").schema)
+    whole = ranked(rows.join(F.broadcast(mine), ["doc_id", "lang", "tie"], "left_semi").withColumn("text", F.substring("text", 1, characters_per_row)))
+    return [(r.text, r.lang) for r in sorted(whole.select("doc_id", "text", "lang").collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, r.text))]
 
 
 def predicted(parser: Parser, column: pa.Array, rows: int = 500) -> list[tuple[str, float]]:
@@ -276,7 +343,8 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without any letter go; where lang is null and there is a model, the predicted one is filled in.
 
-    Without a model (no usable labelled row outside the held-out fold) null stays null.
+    Without a model (no usable labelled row outside the held-out fold) null stays null.  Null and empty texts have no
+    letter; repeated rows and ties are treated row by row, an empty table stays empty, extra columns pass as they are.
     """
     common.bounded_batches(spark)
     usable = docs.select("doc_id", "text", "lang")

@@ -254,6 +254,10 @@ def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: where each piece of each document stands."""
+    """Pipeline stage: where each piece of each document stands, a row for each piece.
+
+    Null text counts as empty (the end id alone), repeated rows are packed one by one, an empty table gives no rows;
+    only doc_id and text are read, so other columns may have any name.
+    """
     common.bounded_batches(spark)
     return pack_documents(docs.select("doc_id", "text"))

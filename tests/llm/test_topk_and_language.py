@@ -110,7 +110,7 @@ def test_phrases_are_longest_matches():
     got = parser.phrases([parser.encode(t) for t in texts])
     trained = [lang.symbols(words("abcde", 300, 1)), lang.symbols(words("cdefg", 300, 2))]
     for t, row in zip(texts, got, strict=True):
-        assert list(row) == [sum(phrases(t[i : i + 64], s) for i in range(0, len(t), 64)) for s in trained]
+        assert list(row) == [phrases(t, s) for s in trained]
 
 
 def test_large_alphabets_keep_their_letters():
@@ -121,10 +121,30 @@ def test_large_alphabets_keep_their_letters():
     parser = lang.Parser(model, window=64)
     texts = [lang.symbols(words(x, 30, 50 + k)) for k, x in enumerate(("abcdefg", han, kana, more))]
     for t, row in zip(texts, parser.phrases([parser.encode(t) for t in texts]), strict=True):
-        assert list(row) == [sum(phrases(t[i : i + 64], s) for i in range(0, len(t), 64)) for s in made]
+        assert list(row) == [phrases(t, s) for s in made]
     assert [g[0] for g in parser.predict(texts)] == list("ahkz")
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 16])
+def test_walks_that_never_meet(window):
+    rng = random.Random(window)
+    made = ["ab" * 3 + "c" + "aab" * 2, "".join(rng.choice("ab") for _ in range(40))]
+    parser = lang.Parser(lang.fit([(t, n) for t, n in zip(made, "xy", strict=True)]), window=window)
+    texts = ["ab" * 90, "a" * 101, "aab" * 50, "", "q", "abcq" * 30, *("".join(rng.choice("abcq") for _ in range(rng.randint(1, 200))) for _ in range(40))]
+    for t, row in zip(texts, parser.phrases([parser.encode(t) for t in texts]), strict=True):
+        assert list(row) == [phrases(t, s) if t else 0 for s in made]
+
+
+def test_samples_and_models_are_bounded(spark):
+    one = spark.range(3000).selectExpr("7 AS doc_id", "concat('text ', id % 900, repeat(' abc', 60)) AS text", "'x' AS lang")
+    many = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 50) AS text", "concat('l', id % 300) AS lang")
+    assert len(lang.labelled_sample(one, rows_per_language=60)) <= 60
+    sample = lang.labelled_sample(many, rows_per_language=5, languages=100, characters_per_row=50)
+    assert len({x for _, x in sample}) == 100 and len(sample) <= 500 and max(len(t) for t, _ in sample) == 50
+    model = lang.fit([(words("abcdefgh", 3000, k), str(k)) for k in range(100)], symbols_in_all=100_000)
+    assert sum(model.lengths) <= 100_000 and sum(x.nbytes for t in model.tables for x in (t.masks, t.first, t.to)) < 9_000_000
+
+
 def test_suffix_automaton_holds_all_substrings():
     seq = [1, 2, 1, 1, 2, 3, 1, 2]
     a = lang.SuffixAutomaton(seq)
