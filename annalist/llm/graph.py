@@ -27,24 +27,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the least node that each node of the edges (a, b) reaches.
+def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """a, b: the least node b that each node a of the edges (a, b) reaches, where that is another one.
 
     Each round writes its edges to the shared folder; they shrink to stars.  Least neighbours are partial
     aggregates, written before the join, so that both of its sides are dealt for the join alone: a hub's
     edges meet one row of the other side, and Spark broadcasts that side or splits the hub as a skewed key.
     """
-    spark = edges.sparkSession
     current = common.materialize(edges.where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        stars = common.materialize(_small_star(_large_star(current)).where("a <> b").distinct(), "stars")
-        found = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        current = stars
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
-    else:
-        raise RuntimeError("components did not settle")
-    roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return spark.createDataFrame([], "node long, root long").unionByName(current.select(F.col("a").alias("node"), F.col("b").alias("root"))).unionByName(roots)
+        current = common.materialize(_small_star(_large_star(current)).where("a <> b").distinct(), "stars")
+        found = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if found == mark:
+            return current
+        mark = found
+    raise RuntimeError("components did not settle")
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root: the least node that each node of the edges (a, b) reaches."""
+    found = stars(edges, most_rounds)
+    return found.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

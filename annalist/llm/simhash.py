@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, wordcache
-from .graph import components
+from .graph import stars
 
 SHINGLE = 3
 SEED = 42
@@ -171,8 +171,8 @@ def links(distinct: DataFrame) -> DataFrame:
 def clusters(marked: DataFrame) -> DataFrame:
     """fp, root of every distinct fingerprint; marked has column fp."""
     distinct = common.materialize(marked.groupBy("fp").agg(F.count("*").alias("copies")), "fingerprints")
-    found = components(links(distinct))
-    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    found = stars(links(distinct))
+    return distinct.join(found, distinct.fp == found.a, "left").select("fp", F.coalesce("b", "fp").alias("root"))
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from . import common
 
 LENGTH = 100
 GRAM = 28
-GROUP = 2000
+GROUP = 20_000  # segments of some 136 bytes: a chunk of under 3 MB
 _SPAN = LENGTH - GRAM + 1  # grams in a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
