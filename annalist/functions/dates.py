@@ -70,6 +70,20 @@ def on_or_after(day: Column | str, weekday: str) -> Column:
     return F.next_day(F.date_sub(col(day).cast("date"), 1), weekday)
 
 
+# From which taping day on a show aired on which weekday, and whether live.
+AIR_ERAS = [("1900-01-01", "Thu", False), ("2005-09-07", "Fri", False), ("2015-01-10", "Thu", False), ("2016-07-19", "Tue", True), ("2019-10-04", "Fri", False)]
+
+
+def air_day(tape: Column | str, eras: list = AIR_ERAS) -> Column:
+    """struct(air_date, derivation) of a show taped on a day: the era's air weekday on or after it."""
+    day = col(tape).cast("date")
+    air, live = on_or_after(day, eras[0][1]), F.lit(eras[0][2])
+    for start, weekday, is_live in eras[1:]:
+        now = day >= F.lit(start).cast("date")
+        air, live = F.when(now, on_or_after(day, weekday)).otherwise(air), F.when(now, F.lit(is_live)).otherwise(live)
+    return F.struct(air.alias("air_date"), F.when(live & (air == day), "live-broadcast").otherwise("air-night-estimate").alias("derivation"))
+
+
 def duration_seconds(c: Column | str) -> Column:
     """(M:SS) or (H:MM:SS) anywhere in the text."""
     h = F.regexp_extract(col(c), r"(\d+):(\d{2}):(\d{2})", 0)

@@ -5,6 +5,7 @@ Patterns that touch names carry ``(?U)``, so that word classes are Unicode ones.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 from functools import reduce
@@ -21,6 +22,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, build) -> Column:
+    """build(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def squeeze(c: Column | str) -> Column:
     """White space runs to one space, ends trimmed; zero-width characters go."""
     return F.trim(F.regexp_replace(F.regexp_replace(col(c), "[​‌‍﻿]", ""), SPACES, " "))
@@ -46,18 +52,11 @@ def name_key(text: str | None) -> str | None:
     """A name's identity key: no accents, case, quoted nickname (unless that is all), leading "the" or punctuation."""
     if text is None:
         return None
-    plain = strip_accents(text).lower().replace("“", '"').replace("”", '"')
-    out, quoted = [], False
-    for c in plain:
-        if c == '"':
-            quoted = not quoted
-        elif not quoted:
-            out.append(c)
-    rest = "".join(out) if plain.count('"') >= 2 and "".join(out).strip() else plain
-    rest = rest.strip()
-    if rest.startswith("the "):
-        rest = rest[4:]
-    key = "".join(c for c in rest if c.isascii() and c.isalnum())
+    plain = strip_accents(text).lower().replace("“", '"').replace("”", '"').strip()
+    pieces = plain.split('"')
+    paired = len(pieces) // 2 * 2 - (len(pieces) % 2 == 0)  # an odd quote at the end closes nothing
+    rest = " ".join([*pieces[0:paired:2], *pieces[paired:]]).strip() or plain
+    key = re.sub("[^a-z0-9]", "", re.sub(r"^the\s+", "", rest))
     return key or "".join(plain.split())
 
 
@@ -71,18 +70,27 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def _words(name: str) -> list[str]:
+    return [w for w in re.findall("[a-z0-9]+", name.lower()) if w != "the"]
+
+
 def strength(a: str, b: str) -> int:
-    """3 equal keys, 2 equal initials and last word, 1 shared words of 4 letters or a ratio of 0.88, else 0."""
-    x, y = name_key(a), name_key(b)
-    if x and x == y:
+    """How sure two spellings are one person.
+
+    3: equal keys, or one is the other's initials in capitals; 2: the words of one, of which one has 4 letters,
+    are among the other's; 1: keys alike to 0.88, the first of 5 letters or more; 0: two people.
+    """
+    x, y = (re.sub("[^a-z0-9]", "", re.sub(r"^the\s+", "", n.strip().lower())) for n in (a, b))
+    if not x or not y:
+        return 0
+    p, q = _words(a), _words(b)
+    initials = any(len(s) > 1 and s.isupper() and s.lower() == "".join(w[0] for w in words) for s, words in ((a, q), (b, p)))
+    if x == y or initials:
         return 3
-    p, q = strip_accents(a).lower().split(), strip_accents(b).lower().split()
-    if p and q and p[-1] == q[-1] and p[0][0] == q[0][0] and (len(p[0].rstrip(".")) == 1 or len(q[0].rstrip(".")) == 1):
+    few, many = sorted((set(p), set(q)), key=len)
+    if few and few <= many and max(map(len, few)) >= 4:
         return 2
-    s, t = {w for w in p if len(w) >= 4}, {w for w in q if len(w) >= 4}
-    if s and t and (s <= t or t <= s):
-        return 1
-    return int(bool(x and y) and ratio(x, y) >= 0.88)
+    return int(len(x) >= 5 and ratio(x, y) >= 0.88)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -107,9 +115,10 @@ def strip_refs(c: Column | str) -> Column:
     return chain(c, [(r"(?is)<ref[^>/]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""), (r"(?s)<!--.*?-->", "")])
 
 
-def strip_templates(c: Column | str, depth: int = 4) -> Column:
-    """Wikitext without {{templates}}, from the innermost out, ``depth`` levels."""
-    return chain(c, [(r"\{\{[^{}]*\}\}", "")] * depth)
+def strip_templates(c: Column | str) -> Column:
+    """Wikitext without {{templates}}, from the innermost out until none is left (at most as often as braces open)."""
+    opens = F.size(F.split(col(c), r"\{\{"))
+    return F.aggregate(F.sequence(F.lit(1), opens), col(c), lambda text, _: F.regexp_replace(text, r"\{\{[^{}]*\}\}", ""))
 
 
 def unlink(c: Column | str) -> Column:
@@ -126,7 +135,39 @@ def links(c: Column | str) -> Column:
 # What may stand before or after a person's name in result prose.
 LEADING = r"(?i)^(?:and|with|plus|then|newcomer|former champion|champion|wwe|wwf|the team of|special referee|manager)\s+"
 TRAILING = r"(?i)\s+(?:wins?|won|defeats?|defeated|def\.?|by (?:pinfall|submission|dq|disqualification|count ?out)|via .*|when .*|after .*|in \d+:\d+.*|at \d+:\d+.*|to retain.*|to win.*)$"
-PLACEHOLDER = r"(?i)^(?:unknown|tba|tbd|n/?a|\?+|mystery (?:man|opponent|partner)|local (?:talent|competitors?)|unnamed.*|two (?:locals|jobbers))$"
+# What stands in a participant's place without naming a person.
+PLACEHOLDER = (
+    r"(?i)^(?:"
+    r"\?\?\?"
+    r"|(?:a|an|\d+)\s+jobbers?"
+    r"|(?:a|an|\d+)\s+local\s+(?:competitors?|athletes?)"
+    r"|\d+\s+ninjas?"
+    r"|the\s+masked\s+ninja"
+    r"|el\s+local\s+#?\d+"
+    r"|facebook|google|twitter|disqus|login\s+this\s+site|newest(?:\s+best)?|oldest|popular"
+    r"|\d+\s+up\s+\d+\s+down"
+    r"|\d+\s+comments?"
+    r"|and|countout|double\s+countout|no\s+contest|no\s+decision"
+    r"|.*\bchampion"
+    r")$"
+)
+# Results in a participant's place, and tails of results after a name.
+NOT_PEOPLE = ["countout", "double countout", "no contest", "and"]
+RESULT_TAIL = r"(?i)\s+(?:by\s+(?:tko|forfeit|reverse\s+decision)|to\s+unify\s+the\s+titles|non)\s*$"
+# One person's two spellings, where one is a slip.
+CARD_SPELLING = {
+    "The Good Father": "The Goodfather",
+    "Grand Master Sexay": "Grandmaster Sexay",
+    "Lance Anoai": "Lance Anoa'i",
+    "Je’Von Evans": "Je'Von Evans",
+    "Walter": "WALTER",
+    "Iyo Sky": "IYO SKY",
+    "Mace": "MACE",
+    "T-Bar": "T-BAR",
+    "SLAPJACK": "Slapjack",
+    "Cruz del Toro": "Cruz Del Toro",
+    "månsôör": "mån.sôör",
+}
 
 
 def canonical_name(c: Column | str) -> Column:
@@ -134,13 +175,13 @@ def canonical_name(c: Column | str) -> Column:
     s = squeeze(chain(c, [(r"\[[^\]]*\]", " "), (r"\((?:c|C|champions?|with [^)]*|w/ ?[^)]*)\)", " "), (r"\([^)]*\)", " ")]))
     s = squeeze(F.regexp_replace(F.regexp_replace(s, LEADING, ""), LEADING, ""))
     s = squeeze(F.regexp_replace(F.regexp_replace(s, TRAILING, ""), TRAILING, ""))
-    s = F.btrim(s, F.lit(" .,;:-–—'\""))
-    drop = (F.length(s) < 2) | (F.length(s) > 60) | s.rlike(r"^\d+$") | s.rlike(r"(?i)\b(?:defeated|pinned|segment|promo)\b")
-    return F.when(s.isNull(), F.lit(None)).when(drop, "").otherwise(s)
+    s = squeeze(F.regexp_replace(s, '"([^"]+)"', "$1"))
+    junk = r"^\P{L}*$|(?i)\svs\.?\s|\b(?:defeated|pinned|segment|promo)\b|^(?:he|she|they|his|her|their|it)\s|^.?$|^.{61,}$"
+    return let(F.btrim(s, F.lit(" .,;:-–—'")), lambda x: F.when(x.rlike(junk), "").otherwise(x))
 
 
 def is_placeholder(c: Column | str) -> Column:
-    return col(c).rlike(PLACEHOLDER)
+    return F.trim(col(c)).rlike(PLACEHOLDER)
 
 
 def looks_like_prose(c: Column | str) -> Column:
@@ -150,9 +191,18 @@ def looks_like_prose(c: Column | str) -> Column:
 
 
 def clean_participant(c: Column | str) -> Column:
-    """A name for display, or null where it names nobody."""
-    s = canonical_name(c)
-    return F.when((s != "") & ~is_placeholder(s), s)
+    """A name as a card shows it, or null where it names nobody; unnamed opponents are told alike, with their number."""
+    unnamed = r"(?i)^(an?|\d+)\s+(?:jobbers?|local\s+(?:athletes?|competitors?))$"
+    spelled = F.create_map(*(F.lit(x) for kv in CARD_SPELLING.items() for x in kv))
+
+    def told(s: Column) -> Column:
+        number = F.lower(F.regexp_extract(s, unnamed, 1))
+        crowd = let(number, lambda n: F.when(n.isin("a", "an", "1"), F.lit("a local competitor")).when(n != "", F.concat(n, F.lit(" local competitors"))))
+        nobody = (s == "") | F.lower(s).isin(*NOT_PEOPLE) | s.rlike(r"(?i)^(?:the\s+)?[A-Za-z]$")
+        return F.when(~nobody, F.coalesce(F.try_element_at(spelled, s), crowd, s))
+
+    closed = let(F.regexp_replace(squeeze(c), r"^[:;,\s]+", ""), lambda s: F.when(s.endswith(")") & ~s.contains("("), F.rtrim(F.substr(s, F.lit(1), F.length(s) - 1))).otherwise(s))
+    return let(F.rtrim(F.regexp_replace(F.trim(F.regexp_replace(closed, RESULT_TAIL, "")), "©+$", "")), told)
 
 
 def clean_participants(names: Column | str) -> Column:
@@ -186,27 +236,67 @@ def declared_sides(match_type: Column | str) -> Column:
     return F.when(digits != "", digits.cast("int")).when(t.rlike("triple threat|three[- ]way"), 3).when(t.rlike("fatal four|four[- ]way"), 4).when(t.rlike("five[- ]way"), 5).when(t.rlike("six[- ]pack"), 6)
 
 
-def belt_parts(stake: Column | str) -> Column:
-    """The belts of a stake: quotes out, "A / B" and "A vs. B" split, contenders' prizes and tournaments' stages left out."""
-    s = F.regexp_replace(col(stake), "\"[^\"]*\"", "")
-    parts = F.transform(F.split(s, r"(?i)\s+/\s+|\s+vs\.\s+"), squeeze)
-    return F.filter(parts, lambda p: (p != "") & (p.rlike(r"(?i)tournament final\b") | ~p.rlike(r"(?i)contender|tournament|battle royal|qualif")))
+# Stakes that are no belt, stages of tournaments that move none, nights of a series, and what marks a change.
+STAKE_FILTER = r"(?i)contender|tournament|battle royal|\bqualif"
+TOURNAMENT_FINAL = r"(?i)^(?!.*contend)(.*?\b(?:Championships?|Titles?))\s+Tournament\s*-?\s*Final$"
+NON_FINAL_STAGE = r"(?i)\b(?:first\s+round|round\s*(?:of\s+)?\d+|quarter\s*-?\s*finals?|semi\s*-?\s*finals?|qualifying|qualifiers?)\b"
+SERIES_NIGHT = r"(?i)\bbest\s+of\s+\w+\s+series\b"
+CHANGE_MARK = r"(?i)title change|\bto win the (?:vacant |new )?(?:[\w'’]+ ){0,4}?(?:title|titles|championship|championships)\b"
+CONTENDERSHIP = r"(?i)\bcontender(?:ship|s)?\b"
+# Spellings of belts.
+TITLE_ALIASES = {
+    "WWF Championship Title": "WWF World Heavyweight Title",
+    "ECW Heavyweight Title": "ECW World Heavyweight Title",
+    "WWE Women's Tag Tean Title": "WWE Women's Tag Team Title",
+}
+# Names of the main singles belts that are told apart by their words alone.
+WORLD_SINGLES = ["wwe", "wwf", "undisputed wwe", "wwe world", "wwf world"]
 
 
 def belt_name(part: Column | str) -> Column:
-    return squeeze(chain(part, [(r"(?i)\s*\btournament final\b.*$", ""), (r"(?i)\bchampionship\b", "Title"), (r"(?i)^(?:the|vacant)\s+", ""), (r"(?i)\bmatch$", "")]))
+    """A belt's name in one spelling: the words up to Championship or Title; null if there is no such word."""
+    known = F.create_map(*(F.lit(x) for kv in TITLE_ALIASES.items() for x in kv))
+    s = F.regexp_extract(squeeze(part), r"(?i)^(.*?\b(?:Championships?|Titles?))(?:\s.*)?$", 1)
+    s = F.trim(chain(s, [(r"\bRAW\b", "Raw"), (r"\bChampionships$", "Titles"), (r"\bChampionship$", "Title"), (r"\bWomens\b", "Women's")]))
+    return let(s, lambda x: F.when(x != "", F.coalesce(F.try_element_at(known, x), x)))
+
+
+def belt_parts(stake: Column | str, match_type: Column | None = None, rode: Column | None = None) -> Column:
+    """The belts of a stake, in one spelling: quoted stipulations out, "A / B" and "A vs. B" split, shots at a belt and stages of tournaments left out.
+
+    match_type: of a contendership match only belts that it names without the mark behind them count, and those
+    only if a belt ``rode`` on the match.
+    """
+
+    def belts(whole: Column) -> Column:
+        parts = F.filter(F.transform(F.split(whole, r"(?i)\s+/\s+|\s+vs\.?\s+"), squeeze), lambda p: p != "")
+        if match_type is not None:
+            kind = F.coalesce(match_type, F.lit(""))
+            at = lambda p: F.position(F.lower(p), F.lower(kind))
+            behind = lambda p: F.substr(F.lower(kind), at(p) + F.length(p))
+            mark = r"^\s*(?:#\s*\d+\s*|no\.?\s*\d+\s*|number\s+one\s+)?contender(?:ship|s)?\b"
+            held = F.coalesce(rode, F.lit(False)) if rode is not None else F.lit(True)
+            parts = F.filter(parts, lambda p: ~kind.rlike(CONTENDERSHIP) | held & ~p.rlike(CONTENDERSHIP) & (at(p) > 0) & ~behind(p).rlike(mark))
+        named = F.filter(F.transform(parts, belt_name), lambda p: p.isNotNull())
+        return F.when(whole.rlike(STAKE_FILTER), F.array().cast("array<string>")).otherwise(named)
+
+    return let(F.regexp_replace(squeeze(F.regexp_replace(col(stake), "\"[^\"]*\"", " ")), TOURNAMENT_FINAL, "$1"), belts)
 
 
 def belt_key(title: Column | str) -> Column:
-    """A belt's words in order of the alphabet, without the general ones."""
-    words = F.split(F.lower(F.regexp_replace(col(title), "[^A-Za-z0-9 ]", " ")), " +")
-    kept = F.filter(words, lambda w: ~w.isin("", "the", "title", "titles", "championship", "championships", "match", "undisputed"))
-    return F.array_join(F.array_sort(F.array_distinct(kept)), " ")
+    """A belt's lineage by its words: names of one belt under several promotions share it; the world singles belts do not."""
+
+    def keyed(n: Column) -> Column:
+        apart = n.rlike("tag|women|divas|light heavyweight|junior|cruiserweight")
+        world = ~apart & (n.rlike("heavyweight") & n.rlike("world|wwe|wwf") | n.isin(*WORLD_SINGLES))
+        return F.when(world, F.concat(F.lit("world::"), n)).otherwise(F.concat(F.lit("belt::"), squeeze(F.regexp_replace(n, r"\b(?:wwf|wwe|undisputed)\b", " "))))
+
+    return let(squeeze(F.regexp_replace(F.regexp_replace(F.lower(col(title)), "[^a-z0-9 ]", " "), r"\b(?:championship|title|the|of)\b", " ")), keyed)
 
 
 def stake_label(stake: Column | str) -> Column:
     """struct(label, note): the belts of a stake, and what else it says."""
-    return F.struct(F.array_join(F.array_distinct(F.transform(belt_parts(stake), belt_name)), " / ").alias("label"), F.regexp_extract(col(stake), "\"([^\"]*)\"", 1).alias("note"))
+    return F.struct(F.array_join(F.array_distinct(belt_parts(stake)), " / ").alias("label"), F.regexp_extract(col(stake), "\"([^\"]*)\"", 1).alias("note"))
 
 
 def first_keyword(c: Column | str, keywords: list[tuple[str, str]]) -> Column:
@@ -240,9 +330,9 @@ def strip_result_tail(c: Column | str) -> Column:
 
 def stand_ins(c: Column | str) -> Column:
     """map: stand-in -> the person replaced, of "X [Replacement for Y]"."""
-    who = F.regexp_extract_all(col(c), F.lit(r"(?i)([^\[\],&]+?)\s*\[replacement for [^\]]+\]"), F.lit(1))
-    whom = F.regexp_extract_all(col(c), F.lit(r"(?i)\[replacement for ([^\]]+)\]"), F.lit(1))
-    return F.map_from_arrays(F.transform(who, lambda x: F.trim(x)), F.transform(whom, lambda x: F.trim(x)))
+    found = r"([A-Z][^\[\]()&,]*?)\s*\[Replacement for ([^\]]+)\]"
+    who, whom = (F.transform(F.regexp_extract_all(col(c), F.lit(found), F.lit(i)), lambda x: F.trim(x)) for i in (1, 2))
+    return F.map_from_entries(F.array_distinct(F.arrays_zip(F.array_distinct(who), F.slice(whom, F.lit(1), F.size(F.array_distinct(who))))))
 
 
 def location(c: Column | str) -> Column:

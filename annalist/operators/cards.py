@@ -22,7 +22,7 @@ def nest(parents: DataFrame, children: DataFrame, key: str, order: list[str], na
 def nest_cards(events: DataFrame, matches: DataFrame, teams: DataFrame, participants: DataFrame, people: DataFrame) -> DataFrame:
     """events with matches[] with teams[] with participants[] (canonical names where known, else cleaned ones)."""
     named = participants.join(people.select("wrestler_id", "canonical_name"), "wrestler_id", "left")
-    named = named.select("team_id", "participant_order", F.coalesce("canonical_name", text.clean_participant("wrestler_name_used")).alias("name")).where("name IS NOT NULL")
+    named = named.select("team_id", "participant_order", F.coalesce("canonical_name", text.clean_participant(text.canonical_name("wrestler_name_used"))).alias("name")).where("name IS NOT NULL")
     sides = nest(teams, named, "team_id", ["participant_order"], "_p").withColumn("participants", F.transform("_p", lambda x: x["name"])).drop("_p")
     bouts = nest(matches, sides, "match_id", ["team_number"], "teams")
     return nest(events, bouts, "event_id", ["match_order"], "matches").withColumn("match_count", F.size("matches"))
@@ -47,7 +47,7 @@ def people_of_events(cards: DataFrame) -> DataFrame:
 
 def clean(cards: DataFrame) -> DataFrame:
     """Cards with clean names on every side; what names nobody goes."""
-    side = lambda t: t.withField("participants", text.clean_participants(t["participants"]))
+    side = lambda t: t.withField("participants", text.clean_participants(F.transform(t["participants"], text.canonical_name)))
     return cards.withColumn("matches", F.transform("matches", lambda m: m.withField("teams", F.transform(m["teams"], side))))
 
 
@@ -77,12 +77,14 @@ def label_stakes(cards: DataFrame) -> DataFrame:
     return cards.withColumn("matches", F.transform("matches", lambda m: m.withField("belt_label", text.stake_label(m["title_at_stake"])["label"]).withField("stake_note", text.stake_label(m["title_at_stake"])["note"])))
 
 
-def belt_holders(cards: DataFrame, reigns: DataFrame) -> DataFrame:
+def belt_holders(cards: DataFrame, reigns: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """event_id, name, titles: belts that people of a card held on its day (start < day <= end, or open).
 
-    reigns: name, title, start, end.
+    reigns: name, title, start, end.  names: (name, canonical), if the reigns are told by canonical name.
     """
     who = flatten(cards).select("event_id", "air_date", "name").distinct()
+    if names is not None:
+        who = who.join(names, "name", "left").select("event_id", "air_date", F.coalesce("canonical", "name").alias("name")).distinct()
     held = who.join(reigns, "name").where((F.col("start") < F.col("air_date")) & (F.col("end").isNull() | (F.col("air_date") <= F.col("end"))))
     return held.groupBy("event_id", "name").agg(F.sort_array(F.collect_set("title")).alias("titles"))
 

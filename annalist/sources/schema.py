@@ -21,7 +21,8 @@ ENUMS = {("matches", "parse_confidence"): ["high", "low"], ("match_teams", "matc
 UNIQUE = {"events": ["event_id"], "matches": ["event_id", "match_order"], "match_teams": ["match_id", "team_number"], "wrestlers": ["canonical_name"]}
 
 TEAM = "struct<team_number:int,team_name:string,accompaniment:string,was_winner:boolean,match_outcome:string,was_champion_entering:boolean,participants:array<string>>"
-MATCH = f"struct<match_order:int,match_type:string,stipulation:string,title_at_stake:string,duration_seconds:int,result_method:string,match_guide_rating:double,raw_description:string,teams:array<{TEAM}>>"
+RULING = "struct<title:string,champions:array<string>,within:array<array<string>>>"
+MATCH = f"struct<match_order:int,match_type:string,stipulation:string,title_at_stake:string,duration_seconds:int,result_method:string,match_guide_rating:double,raw_description:string,teams:array<{TEAM}>,title_result:array<{RULING}>>"
 CARD = f"event_id long, air_date date, show_type string, title string, matches array<{MATCH}>"
 
 

@@ -19,17 +19,18 @@ def test_slugify(spark):
 
 
 def test_normkey(spark):
-    check(spark, [("The Rock", "rock"), ("Bálor", "balor"), ('"Stone" Cold', "cold"), ('"Nick"', "nick"), ("A.J. Styles", "ajstyles"), (None, None), ("??", "??")], text.normkey)
+    check(spark, [("The Rock", "rock"), ("Bálor", "balor"), ('"Stone" Cold', "cold"), ('"Nick"', "nick"), ("A.J. Styles", "ajstyles"), (None, None), ("??", "??"), ('Al "The Ax" Bo "Cy', "albocy"), ('"Dirty" Dominik', "dominik"), ('"???"', '"???"')], text.normkey)
 
 
-@pytest.mark.parametrize("a, b, want", [("The Rock", "Rock", 3), ("J. Smith", "John Smith", 2), ("John Smith", "John Smith Junior", 1), ("Jon Smithers", "John Smithers", 1), ("Abe", "Zed", 0)])
+@pytest.mark.parametrize("a, b, want", [("The Rock", "Rock", 3), ("MVP", "Montel Vontavious Porter", 3), ("John Smith", "John Smith-Jones", 2), ("Funaki", "Sho Funaki", 2), ("Al", "Al Snow", 0), ("K-Kwick", "K-Kwik", 1), ("Abe", "Zed", 0), ("J. Smith", "John Smith", 0), ("", "A", 0)])
 def test_strength(a, b, want):
     assert text.strength(a, b) == want
 
 
 def test_canonical_names(spark):
     check(spark, [("John Smith (c)", "John Smith"), ("and Bob Jones", "Bob Jones"), ("Bob Jones by pinfall", "Bob Jones"), ("Bob [note]", "Bob"), ("12", ""), (None, None), ("Al (with Ed)", "Al")], text.canonical_name)
-    check(spark, [("unknown", None), ("Mystery Man", None), ("Jim", "Jim")], text.clean_participant)
+    check(spark, [("2 jobbers", "2 local competitors"), ("a local athlete", "a local competitor"), ("Countout", None), ("The X", None), ("Jeff Hardy by TKO", "Jeff Hardy"), ("Layla ©", "Layla"), (": Jim)", "Jim"), ("Walter", "WALTER"), ("Jim", "Jim"), (" ", None)], text.clean_participant)
+    check(spark, [("???", True), ("3 ninjas", True), ("El Local", False), ("El Local #1", True), ("Intercontinental Champion", True), ("Ann", False)], text.is_placeholder)
 
 
 def test_prose(spark):
@@ -39,7 +40,7 @@ def test_prose(spark):
 def test_markup(spark):
     check(spark, [("<b>A</b> &amp; <i>B</i>", "A & B")], text.strip_tags)
     check(spark, [("x<ref>y</ref>z<ref name=a/>", "xz")], text.strip_refs)
-    check(spark, [("a {{b|{{c}}}} d", "a  d")], text.strip_templates)
+    check(spark, [("a {{b|{{c}}}} d", "a  d"), ("{{a{{b{{c{{d{{e{{f}}}}}}}}}}}}x", "x"), ("}}{{", "}}{{"), (None, None)], text.strip_templates)
     check(spark, [("[[A (x)]] and [[B|C]]", "A and C")], text.unlink)
     check(spark, [("[[A (x)]] and [[B|C]]", ["A", "C"])], text.links)
 
@@ -48,7 +49,8 @@ def test_sides_and_stakes(spark):
     check(spark, [("A & B vs. C", [["A", "B"], ["C"]])], text.sides)
     check(spark, [("World Title / Tag Title", ["World Title", "Tag Title"]), ("#1 Contender Match", [])], text.belt_parts)
     check(spark, [('World Championship "Last Chance"', ("World Title", "Last Chance"))], lambda c: text.stake_label(c))
-    check(spark, [("Undisputed World Championship", "world")], text.belt_key)
+    check(spark, [("Undisputed World Championship", "belt::world"), ("WWF Intercontinental Title", "belt::intercontinental"), ("World Heavyweight Championship", "world::world heavyweight"), ("WWE World Tag Team Title", "belt::world tag team"), ("WWE Championship", "world::wwe")], text.belt_key)
+    check(spark, [("WWE RAW Womens Championship Steel Cage Match", ["WWE Raw Women's Title"]), ("vacant", []), ("X Title Tournament - Final", ["X Title"]), ("X Title Tournament", []), ("A Title vs. B Championship", ["A Title", "B Title"])], text.belt_parts)
     check(spark, [("Triple Threat Match", 3), ("6-Way", 6), ("Singles", None)], text.declared_sides)
     check(spark, [("Steel Cage Ladder Match", "Steel Cage"), ("Singles", None)], text.stipulation)
     check(spark, [("X [Replacement for Y] & Z", {"X": "Y"})], text.stand_ins)
@@ -70,6 +72,11 @@ def test_dates(spark):
     check(spark, [("2024-03-01", d(2024, 3, 1)), ("2024-03-02", d(2024, 3, 8))], lambda c: dates.on_or_after(c, "Fri"))
 
 
+def test_air_days(spark):
+    d = dt.date
+    check(spark, [("2001-01-02", (d(2001, 1, 4), "air-night-estimate")), ("2005-09-07", (d(2005, 9, 9), "air-night-estimate")), ("2016-07-19", (d(2016, 7, 19), "live-broadcast")), ("2016-07-20", (d(2016, 7, 26), "air-night-estimate")), ("2019-10-04", (d(2019, 10, 4), "air-night-estimate"))], dates.air_day)
+
+
 def test_numbers(spark):
     check(spark, [("(5:09)", 309), ("1:02:03", 3723), ("x", None)], dates.duration_seconds)
     check(spark, [("***1/2", 3.5), ("1/2*", 0.5), ("*1/2", 1.5), ("DUD", 0.0), ("-**", -2.0), ("x", None)], dates.stars)

@@ -12,13 +12,13 @@ def team(n, people, won, champion=False, outcome=None):
     return (n, "t", None, won, outcome, champion, people)
 
 
-def match(order, *teams, stake=None, raw="", kind="Singles"):
-    return (order, kind, None, stake, 60, None, None, raw, list(teams))
+def match(order, *teams, stake=None, raw="", kind="Singles", result=None):
+    return (order, kind, None, stake, 60, None, None, raw, list(teams), result)
 
 
 def cards(spark):
     rows = [
-        (1, D(2001, 1, 1), "RAW", "a", [match(1, team(1, ["Ann"], True, True), team(2, ["Bob"], False), stake="World Title"), match(2, team(1, ["Cat"], None), team(2, ["unknown"], None))]),
+        (1, D(2001, 1, 1), "RAW", "a", [match(1, team(1, ["Ann"], True, True), team(2, ["Bob"], False), stake="World Title"), match(2, team(1, ["Cat"], None), team(2, ["???"], None))]),
         (2, D(2001, 1, 8), "RAW", "b", [match(1, team(1, ["Bob"], True), team(2, ["Ann"], False, True), stake="World Championship")]),
         (3, D(2001, 1, 15), "RAW", "c", [match(1, team(1, ["Bob"], True, True), team(2, ["Ann"], False), stake="World Title")]),
     ]
@@ -29,11 +29,31 @@ def test_rebuild(spark):
     t = jobs.rebuild(cards(spark))
     assert [(r.champion_names, r.pre_corpus, r.start) for r in t["reigns"].orderBy("idx").collect()] == [(["Ann"], True, D(2001, 1, 1)), (["Bob"], False, D(2001, 1, 8))]
     assert sorted((r.name, r.n, r.w, r.l, r.nc) for r in t["people"].collect()) == [("Ann", 3, 1, 2, 0), ("Bob", 3, 2, 1, 0), ("Cat", 1, 0, 0, 1)]
-    assert [tuple(r) for r in t["wins"].collect()] == [("Bob", "world", 1)]
+    assert [tuple(r) for r in t["wins"].collect()] == [("Bob", "belt::world", 1)]
     assert {(r.event_id, r.name) for r in t["holders"].collect()} == {(2, "Ann"), (3, "Bob")}
     assert t["search"].count() == 4 and t["names"].count() == 3
 
 
+def test_steps_pass_over_what_moves_no_belt(spark):
+    def night(i, kind="Singles", raw="", stake="World Title", result=None, show=None):
+        return (show or i, D(2001, 1, i), "RAW", "x", [match(1, team(1, [f"P{i}"], True), team(2, ["Ann"], False, True), stake=stake, raw=raw, kind=kind, result=result)])
+
+    rows = [night(1), night(2, kind="Tournament First Round"), night(3, kind="Best of Seven Series"), night(4, kind="Best Of Five Series", raw="TITLE CHANGE !!!"), night(5, show=221), night(6, stake="World Title #1 Contendership"), night(7, kind="World Title #1 Contendership Match"), night(8, stake='"If he loses"'), night(9, result=[("Tag Title", ["Q"], None), ("World Title", ["R"], [["S"]])])]
+    got = {r.event_id: r for r in jobs.steps(spark.createDataFrame(rows, schema.CARD)).collect()}
+    assert sorted(got) == [1, 4, 9] and got[4].marked and not got[1].marked
+    assert got[9].ruling == ["R"] and got[9].within == [["S"]] and got[1].ruling is None
+
+
+def test_rebuild_with_two_spellings(spark):
+    def night(i, champion, other):
+        return (i, D(2001, 1, i), "RAW", "x", [match(1, team(1, [champion], True, True), team(2, [other], False), stake="World Title")])
+
+    t = jobs.rebuild(spark.createDataFrame([night(1, "Big Show", "Bob"), night(8, "The Big Show", "Al"), night(15, "Big Show", "Bob")], schema.CARD))
+    assert [r.champion_names for r in t["reigns"].collect()] == [["Big Show"]]
+    assert sorted((r.name, r.n) for r in t["people"].collect()) == [("Al", 1), ("Big Show", 3), ("Bob", 2)]
+    assert {r.name for r in t["holders"].collect()} == {"Big Show"}
+
+
 def test_api(spark):
     tables = {n: spark.createDataFrame([], c) for n, c in schema.TABLES.items()}
     tables["events"] = spark.createDataFrame([(1, D(2001, 12, 31), "RAW"), (2, D(2002, 1, 1), "RAW")], "event_id long, air_date date, show_type string")

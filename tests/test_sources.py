@@ -70,7 +70,7 @@ def test_files(spark, tmp_path):
     assert "| a | 1 |" in sinks.report(spark.createDataFrame([("a",)], "k string"), ["k"], "R")
 
 
-@pytest.mark.parametrize("text, people", [("A, B & C", ["A", "B", "C"]), ("The Club (A and B) & C", ["A", "B", "C"]), ("Matt & Jeff Hardy", ["Matt Hardy", "Jeff Hardy"]), ("Bob & Jeff Hardy", ["Bob", "Jeff Hardy"]), ("", [])])
+@pytest.mark.parametrize("text, people", [("A, B & C", ["A", "B", "C"]), ("The Club (A and B) & C", ["A", "B", "C"]), ("Matt & Jeff Hardy", ["Matt Hardy", "Jeff Hardy"]), ("Bob & Jeff Hardy", ["Bob", "Jeff Hardy"]), ("Matt & Jeff Smith", ["Matt", "Jeff Smith"]), ("Bubba Ray & D-Von Dudley", ["Bubba Ray Dudley", "D-Von Dudley"]), ("", [])])
 def test_members(text, people):
     assert grammars.flat_members(text) == people
 
@@ -109,6 +109,8 @@ def test_pages():
 def test_wikitext():
     blocks = grammars.templates("x {{Infobox event|name=[[A|B]]|date={{d|1|2}}}} {{infobox y}} {{Infobox open", "infobox")
     assert len(blocks) == 2
+    assert grammars.templates("}} {{a {{INFOBOX x|{{infobox y}}}}", "infobox") == ["{{INFOBOX x|{{infobox y}}}}"]
+    assert grammars.templates("", "x") == [] and grammars.brace_spans("{{{{}}") == [(2, 6)]
     assert grammars.template_fields(blocks[0]) == {"name": "[[A|B]]", "date": "{{d|1|2}}"}
 
 
