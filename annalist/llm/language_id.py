@@ -93,7 +93,7 @@ class SuffixAutomaton:
         root = np.full(alphabet, n, np.int32)
         for c, state in self.next[0].items():
             root[c] = state
-        return Table(alphabet, masks, first, np.array([*to, n], np.int32), rare[:, 0].copy(), rare[:, 1].astype(np.int32), root)
+        return Table(alphabet, masks, first, np.array([*to, n], np.int32) * 2, rare[:, 0].copy(), rare[:, 1].astype(np.int32) * 2, root * 2 + 1)
 
 
 _WORDS = 2  # masks of 64 symbols a state
@@ -105,9 +105,9 @@ class Table:
     """Moves of an automaton.  A move is 2 * next state + (1 if a phrase ended before the symbol).
 
     State 0 is the start of a text; the last state stands for a phrase that is one unknown symbol.
-    masks, first: by state and word of symbols, which symbols move on, and where their states begin in ``to``;
-    keys, values: state * alphabet + symbol -> state, for the symbols beyond the masks; root: states after a
-    phrase's first symbol.
+    masks, first: by state and word of symbols, which symbols move on, and where their moves begin in ``to``;
+    keys, values: state * alphabet + symbol -> move, for the symbols beyond the masks; root: moves by which a
+    phrase ends and the next begins with a symbol.
     """
 
     alphabet: int
@@ -118,23 +118,38 @@ class Table:
     values: np.ndarray
     root: np.ndarray
 
-    def step(self, state: np.ndarray, symbol: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """The moves; rare: where symbols are beyond the masks."""
-        again = (self.root[symbol] << 1) + (state != 0)
-        at = state * _WORDS + np.minimum(symbol >> 6, _WORDS - 1)
-        bit = (symbol & 63).astype(np.uint64)
-        mask = self.masks[at] >> bit
-        before = np.bitwise_count(self.masks[at] & ((np.uint64(1) << bit) - np.uint64(1)))
-        out = np.where(mask & np.uint64(1), self.to[self.first[at] + before] << 1, again)
-        if len(rare):
-            out[rare] = again[rare]
+    def step(self, state: np.ndarray, of: Symbols) -> np.ndarray:
+        """The moves from states past the start of a text."""
+        at = state * _WORDS
+        at += of.word
+        mask = self.masks[at]
+        place = np.bitwise_count(mask & of.below).astype(np.int32)
+        place += self.first[at]
+        out = np.where(mask & of.bit, self.to[place], self.root[of.symbol])
+        if len(of.rare):
+            symbol = of.symbol[of.rare]
+            found = self.root[symbol]
             if len(self.keys):
-                key = state[rare].astype(np.int64) * self.alphabet + symbol[rare]
+                key = state[of.rare].astype(np.int64) * self.alphabet + symbol
                 k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                out[rare] = np.where(self.keys[k] == key, self.values[k] << 1, out[rare])
+                found = np.where(self.keys[k] == key, self.values[k], found)
+            out[of.rare] = found
         return out
 
 
+_BIT = np.concatenate([np.uint64(1) << np.arange(64, dtype=np.uint64)] * _WORDS)
+
+
+class Symbols:
+    """Symbols of many windows, with what every table needs of them."""
+
+    def __init__(self, symbol: np.ndarray):
+        masked = np.minimum(symbol, _MASKED - 1)
+        self.symbol, self.word, self.bit = symbol, (masked >> 6).astype(np.int32), _BIT[masked]
+        self.below = self.bit - np.uint64(1)
+        self.rare = np.flatnonzero(symbol >= _MASKED)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -210,16 +225,14 @@ class Parser:
         grid = np.ascontiguousarray(grid.reshape(total, w)[order].T).astype(np.int32)
         active = np.searchsorted(-sizes, -np.arange(w), side="left")  # windows longer than t
         out = np.zeros((len(encoded), len(self.model.tables)), dtype=np.int64)
-        rare = [np.flatnonzero(row[:n] >= _MASKED) for row, n in zip(grid, active, strict=True)]
+        steps = [Symbols(row[:n]) for row, n in zip(grid, active, strict=True) if n]
         moves = np.zeros((w, total), np.int32)
         for k, table in enumerate(self.model.tables):
             state = np.zeros(total, dtype=np.int32)
-            for t in range(w):
-                n = int(active[t])
-                if not n:
-                    break
-                moves[t, :n] = table.step(state[:n], grid[t, :n], rare[t])
-                state[:n] = moves[t, :n] >> 1
+            for t, of in enumerate(steps):
+                n = len(of.symbol)
+                moves[t, :n] = table.root[of.symbol] - 1 if t == 0 else table.step(state[:n], of)
+                np.right_shift(moves[t, :n], 1, out=state[:n])
             self._mend(table, grid, sizes, moves, state, next_lane)
             ended = np.zeros(total, np.int64)
             for t in range(w):
@@ -239,8 +252,7 @@ class Parser:
                     lanes, now = lanes[~short], now[~short]
                 if not len(lanes):
                     break
-                symbol = grid[t, lanes]
-                move = table.step(now, symbol, np.flatnonzero(symbol >= _MASKED))
+                move = table.step(now, Symbols(grid[t, lanes]))
                 apart = (move >> 1) != (moves[t, lanes] >> 1)
                 moves[t, lanes] = move
                 lanes, now = lanes[apart], move[apart] >> 1
@@ -250,14 +262,13 @@ class Parser:
             open_ = changed
             if not len(open_):
                 return
-        one, none = np.zeros(1, np.int32), np.empty(0, np.int64)
+        one = np.zeros(1, np.int32)
         for start in open_.tolist():  # walks that do not meet for long: one window after the other
             at, now = next_lane[start], int(state[start])
             while at >= 0:
                 for t in range(int(sizes[at])):
-                    symbol = grid[t, at : at + 1]
                     one[0] = now
-                    move = int(table.step(one, symbol, none if symbol[0] < _MASKED else np.zeros(1, np.int64))[0])
+                    move = int(table.step(one, Symbols(grid[t, at : at + 1]))[0])
                     met = move >> 1 == moves[t, at] >> 1
                     moves[t, at], now = move, move >> 1
                     if met:
