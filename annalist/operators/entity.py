@@ -59,3 +59,63 @@ def keepers(rows: DataFrame, id_: str, canonical: str) -> DataFrame:
 def slug_aliases(names: DataFrame, canonical: DataFrame) -> DataFrame:
     """name, slug: every raw name with the slug of its canonical one (canonical: name, canonical, slug)."""
     return names.select("name").distinct().join(canonical.select("name", "slug"), "name")
+
+
+def rename_pairs(pages: DataFrame) -> DataFrame:
+    """alias, target: of roster pages (slug, name) those whose slug says another name; a name's own target wins over a slug's."""
+    from ..functions.text import slugify
+
+    pairs = pages.select(F.regexp_replace("slug", "-", " ").alias("alias"), F.col("name").alias("target"), F.lit(1).alias("_k"))
+    own = pages.select(F.lower("name").alias("alias"), F.col("name").alias("target"), F.lit(0).alias("_k"))
+    both = pairs.where(slugify("target") != F.regexp_replace("alias", " ", "-")).unionByName(own)
+    return first_best(both, ["alias"], [F.col("_k"), F.col("target")], ["target"]).where(F.lower("target") != F.col("alias"))
+
+
+def recovered_aliases(shipped: DataFrame, current: DataFrame) -> DataFrame:
+    """alias, target: shipped aliases whose target has an alias of its own now go on to that (one hop); self-pointing ones go."""
+    hop = current.select(F.col("alias").alias("target"), F.col("target").alias("_next"))
+    return shipped.join(hop, "target", "left").select("alias", F.coalesce("_next", "target").alias("target")).where("alias <> target")
+
+
+def rekeyed_assets(assets: DataFrame, aliases: DataFrame, roster: DataFrame) -> DataFrame:
+    """slug, to: assets whose slug is no roster slug but an alias of one that has no asset yet."""
+    orphans = assets.select("slug").join(roster.select("slug"), "slug", "left_anti")
+    to = orphans.join(aliases.select(F.col("alias").alias("slug"), F.col("target").alias("to")), "slug")
+    return to.join(roster.select(F.col("slug").alias("to")), "to", "left_semi").join(assets.select(F.col("slug").alias("to")), "to", "left_anti").select("slug", "to")
+
+
+def find_profile(names: DataFrame, profiles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, profile, rule: by the exact name, an alias, with or without "The ", else by initial and last word where that is unique."""
+    p = profiles.select(F.col("name").alias("profile")).distinct()
+    bare = lambda c: F.regexp_replace(F.lower(c), r"^the\s+", "")
+    short = lambda c: F.concat(F.substring(F.lower(c), 1, 1), F.lit(" "), F.element_at(F.split(F.lower(c), " "), -1))
+    lone = lambda key, name: p.groupBy(key("profile").alias("_key")).agg(F.count("*").alias("_n"), F.min("profile").alias(name)).where("_n = 1").drop("_n")
+    n = names.select("name").distinct()
+    out = n.join(p.withColumn("_exact", F.col("profile")).withColumnRenamed("profile", "name"), "name", "left")
+    known = aliases.select(F.col("alias").alias("name"), F.col("target").alias("_alias")).join(p.withColumnRenamed("profile", "_alias"), "_alias", "left_semi")
+    out = out.join(known, "name", "left")
+    out = out.join(lone(bare, "_bare"), bare("name") == F.col("_key"), "left").drop("_key")
+    out = out.join(lone(short, "_short"), short("name") == F.col("_key"), "left").drop("_key")
+    rule = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_alias").isNotNull(), "alias").when(F.col("_bare").isNotNull(), "the").when(F.col("_short").isNotNull(), "initial")
+    return out.select("name", F.coalesce("_exact", "_alias", "_bare", "_short").alias("profile"), rule.alias("rule"))
+
+
+def resolved_side(mentions: DataFrame, cast: DataFrame) -> DataFrame:
+    """event, mention, name, rule: a mention on a card is a name of its cast, or the only one with that last word (a surname).
+
+    mentions: event, mention; cast: event, name.
+    """
+    exact = mentions.join(cast.select("event", F.col("name").alias("mention"), F.col("name").alias("_exact")).distinct(), ["event", "mention"], "left")
+    last = cast.select("event", "name", F.element_at(F.split("name", r"\s+"), -1).alias("mention")).groupBy("event", "mention").agg(F.countDistinct("name").alias("_n"), F.min("name").alias("_sur")).where("_n = 1").drop("_n")
+    out = exact.join(last, ["event", "mention"], "left")
+    return out.select("event", "mention", F.coalesce("_exact", "_sur").alias("name"), F.when(F.col("_exact").isNotNull(), "explicit").when(F.col("_sur").isNotNull(), "surname").otherwise("unresolved").alias("rule"))
+
+
+def resolved_slugs(assets: DataFrame, roster: DataFrame, manual: DataFrame, skipped: list[str]) -> DataFrame:
+    """asset, slug, rule of assets (asset): a manual choice (asset, slug), the same slug, or the same letters where they name one slug; skipped ones have none."""
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    same = roster.groupBy(letters("slug").alias("_l")).agg(F.count("*").alias("_n"), F.min("slug").alias("_norm")).where("_n = 1").drop("_n")
+    out = assets.select("asset").join(manual.select("asset", F.col("slug").alias("_manual")), "asset", "left").join(roster.select(F.col("slug").alias("asset"), F.col("slug").alias("_exact")), "asset", "left").join(same, letters("asset") == F.col("_l"), "left")
+    skip = F.col("asset").isin(skipped) if skipped else F.lit(False)
+    rule = F.when(skip, "skipped").when(F.col("_manual").isNotNull(), "manual").when(F.col("_exact").isNotNull(), "exact").when(F.col("_norm").isNotNull(), "normalized").otherwise("none")
+    return out.select("asset", F.when(~skip, F.coalesce("_manual", "_exact", "_norm")).alias("slug"), rule.alias("rule"))

@@ -44,7 +44,10 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
 
 
 def stab_join(rows: DataFrame, intervals: DataFrame, keys: list[str], day: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Intervals with start < day <= end (null end: still open) of the same keys."""
+    """Intervals with start < day <= end (null end: still open) of the same keys.
+
+    The keys deal the rows; a key's intervals are few by nature (reigns of a belt), its rows may be many.
+    """
     return rows.join(intervals, keys).where((F.col(start) < F.col(day)) & (F.col(end).isNull() | (F.col(day) <= F.col(end))))
 
 
@@ -92,18 +95,22 @@ def unique_candidate(left: DataFrame, right: DataFrame, keys: list[str], how: st
     return left.join(lone, keys, how)
 
 
-def tiered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[tuple[str, list[Column], list[Column]]]) -> DataFrame:
-    """left_id, right_id, rule: the first rule that joins, each row of either side used once.
+def tiered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[tuple]) -> DataFrame:
+    """left_id, right_id, rule: the first rule that joins a row with its only candidate, each row of either side used once.
 
-    A rule is a name and equal keys of both sides (null joins nothing).  Within a rule the candidates of a
-    key claim in order of their ids: the first left row gets the first right row, and so on.  What a rule
-    leaves goes on to the next; lineage is cut after each.
+    A rule is a name, equal keys of both sides (null joins nothing) and, for a range of days, (left day, right
+    day, most days).  A pair is accepted where neither row has another candidate among the rows still free;
+    what a rule leaves goes on to the next; lineage is cut after each.
     """
     out, a, b = None, left, right
-    for name, lk, rk in tiers:
+    for name, lk, rk, *days in tiers:
         keys = [f"_k{i}" for i in range(len(lk))]
-        side = lambda df, cols, id_, keys=keys: reduce(lambda d, c: d.where(F.col(c).isNotNull()), keys, df.select(id_, *(c.alias(k) for c, k in zip(cols, keys, strict=True)))).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(id_)))
-        got = cut(side(a, lk, left_id).join(side(b, rk, right_id), [*keys, "_n"]).select(left_id, right_id, F.lit(name).alias("rule")))
+        ld, rd, most = days[0] if days else (None, None, None)
+        side = lambda df, cols, id_, day, keys=keys: reduce(lambda d, c: d.where(F.col(c).isNotNull()), keys, df.select(id_, *(c.alias(k) for c, k in zip(cols, keys, strict=True)), *([day] if day is not None else [])))
+        x, y = side(a, lk, left_id, None if ld is None else ld.alias("_ld")), side(b, rk, right_id, None if rd is None else rd.alias("_rd"))
+        pairs = x.join(y, keys) if most is None else within_days(x, y, keys, "_ld", "_rd", most)
+        counted = pairs.select(left_id, right_id).withColumn("_a", F.count("*").over(Window.partitionBy(left_id))).withColumn("_b", F.count("*").over(Window.partitionBy(right_id)))
+        got = cut(counted.where("_a = 1 AND _b = 1").select(left_id, right_id, F.lit(name).alias("rule")))
         out = got if out is None else out.unionByName(got)
         a, b = a.join(got.select(left_id), left_id, "left_anti"), b.join(got.select(right_id), right_id, "left_anti")
     return out

@@ -70,13 +70,13 @@ def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def append_new(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The base, and the new rows whose key (nulls equal) it does not have; within the new ones the first by source order."""
+def append_new(base: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The base, and the new rows whose key (nulls equal) it does not have; within the new ones the first in the given order."""
     same = [base[k].eqNullSafe(new[k]) for k in keys]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    return base.unionByName(new.join(base, cond, "left_anti").dropDuplicates(keys), allowMissingColumns=True)
+    return base.unionByName(first_wins(new.join(base, cond, "left_anti"), keys, order), allowMissingColumns=True)
 
 
 def replace_range(base: DataFrame, new: DataFrame, in_range: Column) -> DataFrame:
@@ -190,30 +190,31 @@ def without_ruled(rows: DataFrame, rulings: DataFrame) -> DataFrame:
     return rows.join(r, (F.col("class") == F.col("_class")) & (F.col("event") == F.col("_event")) & F.col("match").eqNullSafe(F.col("_match")) & F.col("line").startswith(F.col("_prefix")), "left_anti")
 
 
-def free_weeks(events: DataFrame) -> DataFrame:
+def free_weeks(events: DataFrame, official: str = "cagematch", share: float = 0.6) -> DataFrame:
     """event_id, air_date: collisions on a date of one show settled.
 
-    events: event_id, show_type, air_date, episode, source, people array<string>.  On a shared date a twin
-    of another source (60 % of the smaller card's people, one at least) is dropped, and what is left is
-    moved, by episode, to the next week without a show.  Sequential state is one show's dates.
+    events: event_id, show_type, air_date, episode, source, matches array<array<string>> (the people of each).
+    On a shared date a record of another source is dropped where the ``official`` source has a twin: a card
+    that shares matches with it, ``share`` of the smaller one's and one at least.  What is left is moved, by
+    episode, to the next week without a show.  Sequential state is one show's dates.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["air_date", "episode", "event_id"], na_position="last", kind="stable")
-        kept: list[dict] = []
-        for r in pdf.to_dict("records"):
-            twins = [k for k in kept if k["air_date"] == r["air_date"] and k["source"] != r["source"]]
-            mine = {name_key(p) for p in r["people"]}
-            if any(len(mine & {name_key(p) for p in t["people"]}) >= max(1, int(0.6 * min(len(mine), len(t["people"])))) for t in twins):
-                continue
-            kept.append(r)
-        taken = {r["air_date"] for r in kept}
-        used: set = set()
+        rows = pdf.sort_values(["air_date", "episode", "event_id"], na_position="last", kind="stable").to_dict("records")
+        for r in rows:
+            r["met"] = {frozenset(map(name_key, m)) for m in (r["matches"] if r["matches"] is not None else ())}
+        best = [r for r in rows if r["source"] == official]
+
+        def twin(r: dict) -> bool:
+            near = (b["met"] for b in best if b["air_date"] == r["air_date"])
+            return r["source"] != official and any(len(r["met"] & m) >= max(1, int(share * min(len(r["met"]), len(m)))) for m in near)
+
+        kept = [r for r in rows if not twin(r)]
+        taken, used = {r["air_date"] for r in kept}, set()
         for r in kept:
             day = r["air_date"]
-            if day in used:
-                while day in used or day in taken:
-                    day = day + pd.Timedelta(days=7)
+            while day in used or day != r["air_date"] and day in taken:
+                day = day + pd.Timedelta(days=7)
             used.add(day)
             r["air_date"] = day
         return pd.DataFrame([(r["event_id"], r["air_date"]) for r in kept], columns=["event_id", "air_date"])

@@ -134,19 +134,19 @@ def q14_range_join(spark, d):
     return joins.range_join(a, b, ["user_id"], "a_ts", "b_ts", 6 * 3600).select("a", "b")
 
 
-@query("""WITH old AS (SELECT doc_id, quality, toxic FROM labels), new AS (SELECT doc_id, 1 AS quality, CAST(length(lang) AS INTEGER) AS toxic FROM documents WHERE doc_id%2=0)
+@query("""WITH old AS (SELECT doc_id, quality, toxic FROM labels), new AS (SELECT doc_id, 1 AS quality, CAST(length(lang) AS INTEGER) AS toxic FROM documents)
 SELECT coalesce(o.doc_id,n.doc_id) AS doc_id, coalesce(o.quality,n.quality) AS quality, coalesce(o.toxic,n.toxic) AS toxic FROM old o FULL JOIN new n ON o.doc_id=n.doc_id""")
 def q15_fill_null_upsert(spark, d):
-    new = read(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("quality"), F.length("lang").alias("toxic"))
+    new = read(spark, d, "documents").select("doc_id", F.lit(1).alias("quality"), F.length("lang").alias("toxic"))
     return reconcile.fill_nulls(read(spark, d, "labels").select("doc_id", "quality", "toxic"), new, ["doc_id"])
 
 
-@query("""WITH prior AS (SELECT p_partkey AS id, p_name||'/'||p_brand AS k FROM part WHERE p_partkey%3<>0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY id)=1),
+@query("""WITH prior AS (SELECT p_partkey AS id, p_name||'/'||p_brand AS k FROM part WHERE p_type<>'PROMO' QUALIFY row_number() OVER (PARTITION BY k ORDER BY id)=1),
  cur AS (SELECT DISTINCT p_name||'/'||p_brand AS k FROM part), j AS (SELECT cur.k, prior.id FROM cur LEFT JOIN prior USING (k))
 SELECT k, coalesce(id, (SELECT max(p_partkey) FROM part) + row_number() OVER (PARTITION BY id IS NULL ORDER BY k)) AS id FROM j""")
 def q16_stable_ids(spark, d):
-    part = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_name", "p_brand").alias("k"))
-    return reconcile.stable_ids(part, part.where("id % 3 <> 0"), ["k"], part.agg(F.max("id").alias("top")))
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_name", "p_brand").alias("k"), "p_type")
+    return reconcile.stable_ids(part, part.where("p_type <> 'PROMO'").drop("p_type"), ["k"], part.agg(F.max("id").alias("top")))
 
 
 @query("""WITH g AS (SELECT y, s FROM range(1995,2003) t(y) CROSS JOIN (SELECT DISTINCT o_orderstatus s FROM orders)),
@@ -270,14 +270,16 @@ def q33_era_shards(spark, d):
     return o.groupBy("era").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
-@query("""WITH a AS (SELECT l_orderkey k, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1),
- b AS (SELECT x.k AS a, y.k AS b, len(list_intersect(x.s, y.s)) AS overlap FROM a x JOIN a y ON y.k = x.k + 1)
-SELECT a, b, overlap FROM b WHERE overlap >= 1""")
+@query("""WITH a AS (SELECT l_orderkey k, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_custkey, o_orderstatus, s FROM orders JOIN a ON k=o_orderkey),
+ b AS (SELECT x.o_orderkey AS a, y.o_orderkey AS b, len(list_intersect(x.s, y.s)) AS overlap FROM o x JOIN o y ON x.o_custkey=y.o_custkey AND x.o_orderstatus='F' AND y.o_orderstatus<>'F'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC) n, lead(overlap) OVER (PARTITION BY a ORDER BY overlap DESC) nx FROM b WHERE overlap>=1)
+SELECT a, b, overlap FROM r WHERE n=1 AND (nx IS NULL OR nx<overlap)""")
 def q34_overlap_join(spark, d):
-    sets = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
-    left = sets.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("k"), F.col("s").alias("sa"))
-    right = sets.select(F.col("l_orderkey").alias("b"), F.col("l_orderkey").alias("k"), F.col("s").alias("sb"))
-    return joins.best_overlap(left, right, ["k"], "a", "b", "sa", "sb").select("a", "b", F.col("overlap").cast("long").alias("overlap"))
+    sets = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("s"))
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(sets, "o_orderkey")
+    left = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("a"), "o_custkey", F.col("s").alias("sa"))
+    right = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("b"), "o_custkey", F.col("s").alias("sb"))
+    return joins.best_overlap(left, right, ["o_custkey"], "a", "b", "sa", "sb").select("a", "b", F.col("overlap").cast("long").alias("overlap"))
 
 
 @query("""SELECT n_name, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey

@@ -36,7 +36,12 @@ def test_tiers_claim_once(spark):
     left = spark.createDataFrame([(1, 10, "a"), (2, 10, "b"), (3, None, "b")], "id int, nr int, d string")
     right = spark.createDataFrame([(7, 10, "a"), (8, 99, "b"), (9, 98, "b")], "rid int, rnr int, rd string")
     got = joins.tiered(left, right, "id", "rid", [("nr", [F.col("nr")], [F.col("rnr")]), ("day", [F.col("d")], [F.col("rd")])])
-    assert rows(got, "id") == [(1, 7, "nr"), (2, 8, "day"), (3, 9, "day")]
+    assert rows(got, "id") == [(1, 7, "day")]  # two rows claim number 10, and two are on day b
+    got = joins.tiered(left, right.where("rid < 9"), "id", "rid", [("nr and day", [F.col("nr"), F.col("d")], [F.col("rnr"), F.col("rd")]), ("nr", [F.col("nr")], [F.col("rnr")]), ("day", [F.col("d")], [F.col("rd")])])
+    assert rows(got, "id") == [(1, 7, "nr and day")]
+    e = spark.createDataFrame([(1, D(2001, 1, 1)), (2, D(2001, 3, 1))], "id int, a date").withColumn("k", F.lit(1))
+    f = spark.createDataFrame([(5, D(2001, 1, 9)), (6, D(2001, 2, 25)), (7, D(2001, 3, 5))], "rid int, b date").withColumn("k", F.lit(1))
+    assert rows(joins.tiered(e, f, "id", "rid", [("ten days", [F.col("k")], [F.col("k")], (F.col("a"), F.col("b"), 10))]), "id") == [(1, 5, "ten days")]
 
 
 def test_overlap_rejects_ties(spark):
@@ -104,7 +109,7 @@ def test_stable_ids(spark):
 def test_append_and_range(spark):
     base = spark.createDataFrame([(D(2019, 1, 1), None, "t")], "d date, s string, n string")
     new = spark.createDataFrame([(D(2019, 1, 1), None, "t"), (D(2020, 1, 1), None, "t")], "d date, s string, n string")
-    assert reconcile.append_new(base, new, ["d", "s", "n"]).count() == 2
+    assert reconcile.append_new(base, new, ["d", "s", "n"], ["n"]).count() == 2
     assert reconcile.replace_range(new, base.limit(0), F.year("d") >= 2020).count() == 1
 
 
@@ -144,9 +149,11 @@ def test_rulings(spark):
 
 
 def test_free_weeks(spark):
-    e = [(1, "SD", D(2001, 1, 4), 1, "a", ["A", "B"]), (2, "SD", D(2001, 1, 4), 2, "b", ["A", "B"]), (3, "SD", D(2001, 1, 4), 3, "a", ["C"]), (4, "SD", D(2001, 1, 11), 4, "a", ["D"])]
-    df = spark.createDataFrame(e, "event_id long, show_type string, air_date date, episode int, source string, people array<string>")
+    x, y, z = ["A", "B"], ["C", "D"], ["E", "F"]
+    e = [(1, "SD", D(2001, 1, 4), 1, "cagematch", [x, y]), (2, "SD", D(2001, 1, 4), 2, "b", [["b", "a"], z]), (3, "SD", D(2001, 1, 4), 3, "c", [["A", "C"], z]), (4, "SD", D(2001, 1, 11), 4, "cagematch", [z])]
+    df = spark.createDataFrame(e, "event_id long, show_type string, air_date date, episode int, source string, matches array<array<string>>")
     assert rows(reconcile.free_weeks(df), "event_id") == [(1, D(2001, 1, 4)), (3, D(2001, 1, 18)), (4, D(2001, 1, 11))]
+    assert reconcile.free_weeks(df.where("source <> 'cagematch'")).count() == 2  # no official record, no twin
 
 
 def test_canonical_map(spark):

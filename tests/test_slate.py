@@ -1,4 +1,5 @@
 import pytest
+from annalist.plans import records  # noqa: F401  adds its queries
 from annalist.plans.slate import ORACLE_SQL, QUERIES
 
 from .oracle import compare
