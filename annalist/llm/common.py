@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +42,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made while a settled() table or a stage is built.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/annalist/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/annalist/{tag}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Removes every path that was made inside; for work whose result has been written elsewhere by the end."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+    for path in made:
+        remove(spark, path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What build() returns, materialized; the tables made on the way are removed."""
+    path = scratch(spark, tag)
+    with swept(spark):
+        df = build()
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:

@@ -166,11 +166,15 @@ def draw(documents: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, block:
     documents: doc_id, source, size and the columns of common.KEYS, which tell different rows apart (rows that
     share them are repeated ones and are drawn one by one).  copies: how often the mix takes the document.
     """
-    keys = common.KEYS
+    return common.settled(documents.sparkSession, lambda: _draw(documents, weights, most, block), "draw")
+
+
+def _draw(documents: DataFrame, weights: tuple, most: int, block: int) -> DataFrame:
+    spark, keys = documents.sparkSession, common.KEYS
     rows = documents.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
     base = common.materialize(rows.groupBy(*keys, "doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
     sums = base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
-    plans = targets(sums, weights, most).withColumnRenamed("source", "src")
+    plans = common.settled(spark, lambda: targets(sums, weights, most), "plans").withColumnRenamed("source", "src")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sure = F.floor(ratio + EPS)
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")

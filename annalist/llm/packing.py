@@ -222,11 +222,15 @@ def pack(items: DataFrame, capacity: int = LENGTH, shard: int = SHARD) -> DataFr
     n, level, settled = rest.count(), 0, []
     shards = max(1, -(-n // shard))
     while n:
-        packed = pack_shards(rest, shards, capacity)
-        fill = packed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
-        done = fill.where((F.col("fill") >= FULL * capacity) if shards > 1 else F.lit(True))
+
+        def build(rest=rest, shards=shards) -> DataFrame:
+            packed = pack_shards(rest, shards, capacity)
+            fill = packed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
+            done = fill.where((F.col("fill") >= FULL * capacity) if shards > 1 else F.lit(True))
+            return packed.join(done.select("shard", "bin", F.lit(True).alias("kept")), ["shard", "bin"], "left")
+
         sequence = (F.lit(level << 54) + F.col("shard") * F.lit(1 << 22) + F.col("bin")).alias("sequence_id")
-        marked = common.materialize(packed.join(done.select("shard", "bin", F.lit(True).alias("kept")), ["shard", "bin"], "left"), f"level{level}")
+        marked = common.settled(spark, build, f"level{level}")
         settled.append(marked.where("kept").select("item", "length", sequence))
         if shards == 1:
             break

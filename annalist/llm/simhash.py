@@ -170,9 +170,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def clusters(marked: DataFrame) -> DataFrame:
     """fp, root of every distinct fingerprint; marked has column fp."""
-    distinct = common.materialize(marked.groupBy("fp").agg(F.count("*").alias("copies")), "fingerprints")
-    found = stars(links(distinct))
-    return distinct.join(found, distinct.fp == found.a, "left").select("fp", F.coalesce("b", "fp").alias("root"))
+
+    def build() -> DataFrame:
+        distinct = common.materialize(marked.groupBy("fp").agg(F.count("*").alias("copies")), "fingerprints")
+        found = stars(links(distinct))
+        return distinct.join(found, distinct.fp == found.a, "left").select("fp", F.coalesce("b", "fp").alias("root"))
+
+    return common.settled(marked.sparkSession, build, "clusters")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -508,7 +508,7 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of documents (doc_id, text)."""
     keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    runs = common.materialize(repeated_runs(keyed).groupBy("ord", "tie").agg(F.collect_set(F.struct("p", "n")).alias("runs")), "runs")
+    runs = common.settled(documents.sparkSession, lambda: repeated_runs(keyed).groupBy("ord", "tie").agg(F.collect_set(F.struct("p", "n")).alias("runs")), "runs")
     _let_go(documents.sparkSession)
     return keyed.join(runs, ["ord", "tie"], "left").select("doc_id", "body", "runs").mapInArrow(_cut, RESULT)
 

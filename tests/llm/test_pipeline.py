@@ -24,3 +24,48 @@ def test_stages_one_after_the_other(spark, sf, tmp_path):
     assert max(r[1] for r in per) <= packing.LENGTH
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "secret_scan", "mix_sources", "best_fit_packing"]
     assert "pipeline" in queries.QUERIES
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "annalist"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0
+    assert [n for n in {p.name for p in folder.iterdir()} - before if not n.startswith("stage-best_fit_packing")] == []
+
+
+def test_first_stages_equal_plain_ones(spark, sf):
+    """Language, near copies and secrets by brute force; mixing within its targets; packing whole."""
+    import numpy as np
+    from annalist.llm import simhash
+    from annalist.llm.secret_scan import base_spans
+
+    from .test_dedup import plain_components, plain_fingerprint
+    from .test_scan_mix_pack_store import plain_targets
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language_id"](spark, docs, sf)
+    got = {r.doc_id: r for r in first.collect()}
+    assert set(got) == set(rows) and all(got[i].lang == r.lang for i, r in rows.items() if r.lang)
+    ids = sorted(rows)
+    roots = plain_components(np.array([plain_fingerprint(rows[i].text) for i in ids], np.uint64))
+    second = stages["simhash_dedup"](spark, first, sf)
+    assert sorted(r.doc_id for r in second.collect()) == sorted({min(i for i, x in zip(ids, roots, strict=True) if x == r) for r in set(roots)})
+    assert simhash.fingerprint(None) == 0
+    third = stages["secret_scan"](spark, second, sf).collect()
+    for r in third:
+        spans = base_spans(rows[r.doc_id].text)
+        assert all(rows[r.doc_id].text[s:e] not in r.text for s, _, e in spans) and (spans or "[SECRET]" in r.text or r.text == rows[r.doc_id].text)
+    words = lambda t: len(t.translate({i: " " for i in range(9, 14)}).split(" ")) - t.translate({i: " " for i in range(9, 14)}).split(" ").count("")
+    sizes = {}
+    for r in third:
+        sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
+    want, took = plain_targets(sizes), {}
+    for r in stages["mix_sources"](spark, spark.createDataFrame(third, docs.schema), sf).collect():
+        took[r.source] = took.get(r.source, 0) + words(r.text)
+    longest = {s: max(words(r.text) for r in third if r.source == s) for s in sizes}
+    assert all(abs(took.get(s, 0) - t) <= max(longest[s], 0.02 * t) for s, t in want.items())

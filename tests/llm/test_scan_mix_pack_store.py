@@ -199,6 +199,9 @@ def test_op9_and_reruns(spark, sf):
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in docs.items()}
     assert {g[0]: g[1] for g in got} == size and all(g[4] <= 3 * g[1] for g in got)
     assert sum({docs[g[0]].source: g[3] for g in got}.values()) == pytest.approx(sum(size.values()))
+    for s in {r.source for r in docs.values()}:
+        own = [g for g in got if docs[g[0]].source == s]
+        assert abs(sum(g[4] for g in own) - own[0][3]) <= max(max(g[1] for g in own), 0.01 * own[0][3])
 
 
 # packing
