@@ -123,3 +123,15 @@ def era_start(year: Column | str, width: int = 3) -> Column:
     """The first year of the bucket; 0 where there is no year."""
     y = col(year).try_cast("int")
     return F.coalesce((F.floor(y / width) * width).cast("int"), F.lit(0))
+
+
+def month_start(c: Column | str) -> Column:
+    """The first day of "Mar 2001" or "March 2001"."""
+    p = r"([A-Za-z]{3})[a-z]*\.?\s+(\d{4})"
+    part = lambda i: F.nullif(F.regexp_extract(col(c), p, i), F.lit(""))
+    return _date(part(2).cast("int"), month_number(part(1)), F.lit(1))
+
+
+def days_apart(a: Column | str, b: Column | str) -> Column:
+    """Signed days from b to a."""
+    return F.datediff(col(a), col(b))

@@ -352,3 +352,38 @@ def base_name(url: Column | str) -> Column:
 def clean_cell(c: Column | str) -> Column:
     """A value fit for a TSV cell."""
     return F.regexp_replace(col(c), "[\\t\\n\\r]", " ")
+
+
+def is_match_row(c: Column | str, bold: Column | None = None) -> Column:
+    """Whether a list item is a match: a bold type in front, a verb of winning, or a versus."""
+    told = col(c).rlike(r"(?i)\b(?:defeat(?:s|ed)?|beats?|def\.?)\s|\svs\.?\s")
+    return told if bold is None else told | F.coalesce(bold, F.lit(False))
+
+
+def show_name(c: Column | str) -> Column:
+    """Raw or SmackDown of a title, common misspellings too; else null."""
+    low = F.lower(col(c))
+    return F.when(low.contains("raw"), "Raw").when(low.contains("mack") | low.rlike("^s(?:ma|am)"), "SmackDown")
+
+
+def line_texts(html: Column | str) -> Column:
+    """The lines of a fragment, cut at <br> and <p>, without tags; empty ones go."""
+    return F.filter(F.transform(F.split(col(html), r"(?i)<br\s*/?>|</?p>"), strip_tags), lambda x: x != "")
+
+
+def linked_stake(html: Column | str, page: str) -> Column:
+    """The texts of a fragment's links to title pages (whose address has ``page``), joined by " / "; null if there is none."""
+    found = F.regexp_extract_all(col(html), F.lit(rf'<a [^>]*href="[^"]*{page}[^"]*"[^>]*>([^<]*)</a>'), F.lit(1))
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, squeeze), " / "))
+
+
+def numbered_rows(text: Column | str) -> Column:
+    """array<struct(n, text)>: the numbered rows of a text, markup removed."""
+    lines_ = F.split(col(text), "\n")
+    rows = F.filter(lines_, lambda x: x.rlike(r"^\s*\d+[.)]\s"))
+    return F.transform(rows, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+)", 1).cast("int").alias("n"), strip_tags(F.regexp_replace(x, r"^\s*\d+[.)]\s+", "")).alias("text")))
+
+
+def as_json_text(c: Column | str) -> Column:
+    """A map, array or struct as JSON text; null stays null."""
+    return F.when(col(c).isNotNull(), F.to_json(col(c)))

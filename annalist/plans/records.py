@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import cards, entity, gates, joins, reconcile, repairs, rollup, timeline
+from ..operators import cards, entity, gates, histories, joins, reconcile, repairs, rollup, timeline
 from .slate import query, read
 
 
@@ -587,3 +587,70 @@ def q111_filled_by_people(spark, d):
 def q112_field_coverage(spark, d):
     rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("price"), F.nullif("o_orderstatus", F.lit("P")).alias("status"))
     return repairs.field_coverage(repairs.with_content(rows, "o_orderkey", ["price", "status"]), ["price", "status"])
+
+
+# histories
+
+
+@query("""SELECT CAST(o_orderdate AS DATE) AS day, string_agg(o_custkey, ',' ORDER BY o_orderkey DESC) AS winners FROM orders GROUP BY 1""")
+def q113_nights(spark, d):
+    n = histories.nights(_orders(spark, d).select("day", "o_orderkey", F.col("o_custkey").cast("string").alias("who")), "day", "o_orderkey", "who", newest_first=True)
+    return n.select("day", F.array_join("winners", ",").alias("winners"))
+
+
+@query("""WITH e AS (SELECT CAST(o_orderdate AS DATE) air, CASE WHEN o_totalprice>150000 THEN CAST(o_orderdate AS DATE)-2 END tape FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH')) SELECT air AS day FROM e UNION SELECT coalesce(tape, air) FROM e""")
+def q114_carried_dates(spark, d):
+    e = _orders(spark, d).select(F.col("o_orderpriority").alias("show_type"), F.col("day").alias("air_date"), F.when(F.col("o_totalprice") > 150000, F.date_sub("day", 2)).alias("tape_date"))
+    return histories.carried_dates(e, ["1-URGENT", "2-HIGH"])
+
+
+@query("""WITH x AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) h, CASE WHEN o_orderstatus='P' THEN CAST(o_orderdate AS DATE)-10 WHEN o_totalprice>200000 THEN CAST(o_orderdate AS DATE)+3 END n, o_orderpriority='1-URGENT' c, CAST(o_orderdate AS DATE)+1 l, o_orderpriority='2-HIGH' lc FROM orders)
+SELECT o_orderkey, CASE WHEN n IS NOT NULL THEN CASE WHEN n>=h THEN n ELSE CAST(n + INTERVAL 12 MONTH AS DATE) END WHEN c THEN h WHEN lc THEN l ELSE h END AS day FROM x""")
+def q115_seen_dates(spark, d):
+    noted = F.when(F.col("o_orderstatus") == "P", F.date_sub("day", 10)).when(F.col("o_totalprice") > 200000, F.date_add("day", 3))
+    o = F.col("o_orderpriority")
+    return _orders(spark, d).select("o_orderkey", histories.air_date(F.col("day"), noted, o == "1-URGENT", F.date_add("day", 1), o == "2-HIGH").alias("day"))
+
+
+@query("""WITH e(title,name,lo,hi,r) AS (VALUES ('1-URGENT','first',NULL::DATE,DATE '1997-12-31',1),('1-URGENT','second',DATE '1997-06-01',NULL::DATE,2),('2-HIGH','other',DATE '1999-01-01',NULL::DATE,1))
+SELECT o_orderkey, coalesce(name, o_orderpriority) AS lineage_name FROM orders LEFT JOIN e ON title=o_orderpriority AND (lo IS NULL OR CAST(o_orderdate AS DATE)>=lo) AND (hi IS NULL OR CAST(o_orderdate AS DATE)<=hi) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY r)=1""")
+def q116_lineage_names(spark, d):
+    eras = _values(spark, "title, name, lo, hi, rank", "('1-URGENT', 'first', CAST(NULL AS DATE), DATE '1997-12-31', 1), ('1-URGENT', 'second', DATE '1997-06-01', CAST(NULL AS DATE), 2), ('2-HIGH', 'other', DATE '1999-01-01', CAST(NULL AS DATE), 1)")
+    return histories.lineage_name(_orders(spark, d).select("o_orderkey", "o_orderpriority", "day"), F.broadcast(eras), "o_orderpriority", "day").select("o_orderkey", "lineage_name")
+
+
+@query("""SELECT l_orderkey, string_agg(DISTINCT l_linenumber, ',' ORDER BY l_linenumber) AS orders FROM lineitem WHERE l_returnflag='R' GROUP BY 1""")
+def q117_pre_shows(spark, d):
+    rows = _lines(spark, d).withColumn("note", F.when(F.col("l_returnflag") == "R", " Pre-show").otherwise("x"))
+    return histories.pre_show(rows, "l_orderkey", "l_linenumber", "note").select("l_orderkey", F.array_join(F.col("orders").cast("array<string>"), ",").alias("orders"))
+
+
+@query("""SELECT o_orderpriority AS lineage, l_suppkey AS name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1,2""")
+def q118_appearance_counts(spark, d):
+    people = _lines(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_suppkey").alias("people"))
+    return histories.appearance_counts(read(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("lineage")).join(people, "o_orderkey"), "lineage", "people")
+
+
+@query("""WITH s AS (SELECT l_orderkey k, list(DISTINCT l_suppkey) FILTER (l_quantity<30) a, list(DISTINCT l_suppkey) FILTER (l_quantity>20) b FROM lineitem GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL)
+SELECT k AS l_orderkey, list_aggregate(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), 'string_agg', ',') AS missing, list_aggregate(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), 'string_agg', ',') AS extra FROM s""")
+def q119_side_differences(spark, d):
+    s = _lines(spark, d).groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_quantity") < 30, F.col("l_suppkey"))).alias("a"), F.collect_set(F.when(F.col("l_quantity") > 20, F.col("l_suppkey"))).alias("b")).where("size(a) > 0 AND size(b) > 0")
+    told = lambda f: F.when(F.size(f"x.{f}") > 0, F.array_join(F.col(f"x.{f}").cast("array<string>"), ",")).alias(f)
+    return s.withColumn("x", histories.side_differences(F.col("a"), F.col("b"))).select("l_orderkey", told("missing"), told("extra"))
+
+
+@query("""WITH x AS (SELECT DISTINCT p_name || CASE WHEN p_size<20 THEN ' defeated ' WHEN p_size<30 THEN ' vs. ' ELSE ' and ' END || p_type AS line, p_size<30 AS is_match FROM part) SELECT line, is_match FROM x""")
+def q120_match_rows(spark, d):
+    verb = F.when(F.col("p_size") < 20, " defeated ").when(F.col("p_size") < 30, " vs. ").otherwise(" and ")
+    return read(spark, d, "part").select(F.concat("p_name", verb, "p_type").alias("line")).distinct().select("line", text.is_match_row("line").alias("is_match"))
+
+
+@query("""SELECT o_orderkey, date_trunc('month', CAST(o_orderdate AS DATE))::DATE AS month, CAST(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders""")
+def q121_month_starts(spark, d):
+    return _orders(spark, d).select("o_orderkey", dates.month_start(F.date_format("day", "MMM yyyy")).alias("month"), dates.days_apart(F.col("day"), F.lit("1998-01-01").cast("date")).cast("long").alias("days"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href="/[^"]*"[^>]*>([^<]*)</a>')) AS BIGINT) AS links, CAST(len(list_filter(list_transform(regexp_split_to_array(html, '(?i)<br\\s*/?>|</?p>'), lambda x: trim(regexp_replace(regexp_replace(x,'<[^>]*>','','g'),'\\s+',' ','g'))), lambda x: x<>'')) AS BIGINT) AS lines FROM pages""")
+def q122_page_lines(spark, d):
+    stake = text.linked_stake("html", "/")
+    return read(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a [^>]*href="/[^"]*"[^>]*>([^<]*)</a>'), F.lit(1))).cast("long").alias("links"), F.size(text.line_texts("html")).cast("long").alias("lines"), stake.alias("_s")).drop("_s")

@@ -1,7 +1,8 @@
 import datetime as dt
 
 import pytest
-from annalist.operators import entity, repairs
+from annalist.functions import dates, text
+from annalist.operators import entity, histories, repairs
 from pyspark.sql import functions as F
 
 D = dt.date
@@ -65,3 +66,33 @@ def test_profiles(spark):
     aliases = spark.createDataFrame([("Nick", "Nicholas")], "alias string, target string")
     got = {r.name: (r.profile, r.rule) for r in entity.find_profile(names, profiles, aliases).collect()}
     assert got == {"Ann Lee": ("Ann Lee", "exact"), "The Rock": ("Rock", "the"), "B. Jones": ("Bob Jones", "initial"), "Nick": ("Nicholas", "alias"), "C. Twin": (None, None), "Zed": (None, None)}
+
+
+def test_nights_of_two_records():
+    ours = [(10, "WWF @ Albany, NY", ["Al Snow", "Steven Richards"]), (20, "Town", ["Bob"])]
+    theirs = [(11, "Boston, MA", ["Al Snow", "Steven Richards"]), (11, "Albany, New York", ["Al Snow", "Steve Richards"]), (20, "x", ["Bobby"]), (20, "x", ["Bob"])]
+    assert histories.night_matches(ours, theirs) == [(0, 1), (1, 3)]
+    assert histories.town("Saint Louis, MO") == "st." and histories.town(None) == ""
+    assert histories.same_person("D-Von Dudley", "Dvon") is False and histories.same_person("Jeff Hardy", "Jeff H")
+
+
+def test_names_of_reigns():
+    assert histories.names_of_reign("Wyatt Family: Erick Rowan & Luke Harper", ["Ann"]) >= {"wyattfamily", "erickrowan", "lukeharper", "ann"}
+    assert histories.names_of_reign("A/B C") == {"bc"} and histories.names_of_reign("") == set()
+
+
+def test_text_rules(spark):
+    df = spark.createDataFrame([("Samckdown 5", "a<br>b <b>c</b><p></p>d", '<a href="?id=5&t=1">World <i>x</a> <a href="?id=5">Tag  Title</a>', "1. <b>Ann</b>\nx\n 2) Bob", "The Club (Al & Bo) vs. Cy (w/ Di)", "Nov 2001")], "t string, h string, l string, n string, g string, m string")
+    r = df.select(text.show_name("t").alias("s"), text.line_texts("h").alias("h"), text.linked_stake("l", "id=5").alias("l"), text.numbered_rows("n").alias("n"), dates.month_start("m").alias("m"), text.as_json_text(F.array("t")).alias("j")).first()
+    assert (r.s, r.h, r.l, [tuple(x) for x in r.n], r.m, r.j) == ("SmackDown", ["a", "b c", "d"], "Tag Title", [(1, "Ann"), (2, "Bob")], D(2001, 11, 1), '["Samckdown 5"]')
+    assert [(x.label, x.members) for x in histories.members_by_date(df, "g", "m").collect()] == [("The Club", ["Al", "Bo"])]
+
+
+def test_outgoing_champions(spark):
+    df = spark.createDataFrame([(1, "lost by M. Hardy", ["Matt Hardy"]), (2, "lost by Edge", ["Matt Hardy"])], "id int, t string, n array<string>")
+    assert rows(df.select("id", histories.outgoing(F.col("t"), F.col("n")).alias("o"))) == [(1, True), (2, False)]
+    pages = spark.createDataFrame([(1, "Hardy won on 1/2/01. " + "x" * 100 + " 3/4/01")], "page int, text string")
+    wanted = spark.createDataFrame([(1, "1/2/01", "Hardy"), (1, "3/4/01", "Hardy"), (1, "1/2/01", "Edge")], "page int, d string, s string")
+    assert rows(histories.after_surname(pages, wanted, "page", "text", "d", "s")) == [(1, "1/2/01", "Hardy")]
+    snaps = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "k string, n int, v string")
+    assert rows(histories.latest_by(snaps, ["k"], [F.desc("n")])) == [("a", 2, "new")]
