@@ -267,26 +267,37 @@ class Crf:
         pairs = sum((np.exp(fore[i - 1][:, None] + t + (s[i] + aft[i])[None, :] - z) for i in range(1, n)), np.zeros((3, 3)))
         return np.exp(fore + aft - z), pairs
 
-    def fit(self, data: list[tuple[np.ndarray, list[int]]], epochs: int = 60, rate: float = 0.25, decay: float = 0.02) -> Crf:
-        """Gradient steps (AdaGrad) over all chains at once, in step by place in the chain; features are renumbered densely."""
+    def fit(self, data: list[tuple[np.ndarray, list[int]]], epochs: int = 60, rate: float = 0.25, decay: float = 0.02, every: int = 10, settled: float = 0.002) -> Crf:
+        """Gradient steps (AdaGrad) over chains at once, in step by place in the chain; features are renumbered densely.
+
+        Every ``every`` steps all chains are seen; in between those whose probabilities are off by less than
+        ``settled`` are passed over, since they add nothing to the gradient.
+        """
         data = sorted((d for d in data if len(d[1])), key=lambda d: -len(d[1]))
         if not data:
             return self
         lengths = np.array([len(y) for _, y in data])
-        alive = [int((lengths > t).sum()) for t in range(lengths[0])]
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        order = np.concatenate([first[:n] + t for t, n in enumerate(alive)])  # by place, then chain
-        used, flat = np.unique(np.concatenate([f for f, _ in data])[order], return_inverse=True)
-        flat = flat.reshape(len(order), -1)
-        truth = np.concatenate([y for _, y in data])[order]
-        at = np.concatenate([[0], np.cumsum(alive)])
-        gold, want = np.eye(3)[truth], np.zeros((3, 3))
-        for t in range(1, len(alive)):
-            np.add.at(want, (truth[at[t - 1] : at[t - 1] + alive[t]], truth[at[t] : at[t + 1]]), 1)
+        first = np.cumsum(lengths) - lengths
+        used, number = np.unique(np.concatenate([f for f, _ in data]), return_inverse=True)
+        number, labels = number.reshape(int(lengths.sum()), -1).astype(np.int32), np.concatenate([y for _, y in data])
+
+        def laid_out(chains: np.ndarray) -> tuple:
+            """Features and labels by place, then chain (longest first); bounds of places, and the chain of each token."""
+            alive = [int((lengths[chains] > t).sum()) for t in range(lengths[chains].max(initial=0))]
+            order = np.concatenate([first[chains[:n]] + t for t, n in enumerate(alive)])
+            truth, at = labels[order], np.concatenate([[0], np.cumsum(alive)])
+            want = np.zeros((3, 3))
+            for t in range(1, len(alive)):
+                np.add.at(want, (truth[at[t - 1] : at[t - 1] + alive[t]], truth[at[t] : at[t + 1]]), 1)
+            return number[order], np.eye(3)[truth], want, at, alive, np.concatenate([chains[:n] for n in alive])
+
         w, step = np.zeros((len(used), 3)), np.zeros((3, 3))
         seen, steps = np.full(w.shape, 1e-8), np.full((3, 3), 1e-8)
         total = lambda x: np.log(np.exp(x - (m := x.max(axis=1, keepdims=True))).sum(axis=1)) + m[:, 0]
-        for _ in range(epochs):
+        everything = laid_out(np.arange(len(data)))
+        for epoch in range(epochs):
+            if epoch % every == 0:
+                flat, gold, want, at, alive, owner = everything
             s = np.zeros((len(flat), 3))
             for k in range(flat.shape[1]):
                 s += w[flat[:, k]]
@@ -313,6 +324,10 @@ class Crf:
             h = want - pairs
             steps += h * h
             step += rate * h / np.sqrt(steps)
+            if epoch % every == 0:
+                off = np.zeros(len(data))
+                np.maximum.at(off, owner, np.abs(g).max(axis=1))
+                flat, gold, want, at, alive, owner = laid_out(np.flatnonzero(off > settled)) if (off > settled).any() else everything
         self.state[used], self.step = w, step
         return self
 
