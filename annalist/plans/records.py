@@ -231,12 +231,12 @@ def q64_renumber(spark, d):
     return timeline.renumber(_lines(spark, d), ["l_orderkey"], ["l_quantity", "l_suppkey", "l_partkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("new_order").cast("long").alias("new_order"))
 
 
-@query("""WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type='view' THEN CAST(value AS BIGINT) END v FROM events), w AS (SELECT *, row_number() OVER x AS r, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) b,
+@query("""WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type='view' THEN CAST(floor(value) AS BIGINT) END v FROM events), w AS (SELECT *, row_number() OVER x AS r, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) b,
  first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) a FROM c WINDOW x AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, round(CAST(coalesce(v, b + r/1000, a - 1 + r/1000, r/1000) AS DOUBLE), 3) AS night_order FROM w""")
+SELECT event_id, CAST(coalesce(v*1000, b*1000 + r, a*1000 - 1000 + r, r) AS BIGINT) AS thousandths FROM w""")
 def q65_night_order(spark, d):
-    e = read(spark, d, "events").withColumn("carried", F.when(F.col("event_type") == "view", F.round("value", 0).cast("long")))
-    return timeline.order_within_night(e, ["user_id"], ["ts", "event_id"], "carried").select("event_id", F.round("night_order", 3).alias("night_order"))
+    e = read(spark, d, "events").withColumn("carried", F.when(F.col("event_type") == "view", F.floor("value")))
+    return timeline.order_within_night(e, ["user_id"], ["ts", "event_id"], "carried").select("event_id", F.round(F.col("night_order") * 1000).cast("long").alias("thousandths"))
 
 
 @query("""WITH p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) a, CAST(l_shipdate AS DATE) b FROM orders JOIN lineitem ON o_orderkey=l_orderkey AND l_linenumber=1) SELECT o_orderkey, CAST(abs(date_diff('day', a, b)) AS BIGINT) AS days FROM p WHERE abs(date_diff('day', a, b)) > 400""")
