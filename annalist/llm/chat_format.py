@@ -1,19 +1,19 @@
 """Operator 3: chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its context and only that
-reply is trainable.  The stored row of an example holds its whole text (context and reply), where its loss mask
-starts and ends, and from where on its text is new.  Whole texts of one conversation grow with the square of its
-turns; from ``WHOLE`` characters on, an example is therefore stored as a link of a chain: what it adds to the
-example before it, with the number of characters before that.  ``expand`` gives the whole text of every example.
-Turns after the last reply, and every ``LINK`` characters without one, form a row without a trainable span.
+reply is trainable.  Every example is stored whole, context and reply, however long it is; it lies in rows of at most
+``WHOLE`` characters (most examples fit into one), each with its place in the example, where its new text starts and,
+where the loss mask reaches into it (``trainable``), the start and end of the mask in the example.  ``expand`` joins them.
+Turns after the last reply are stored in the same way, with all before them, and have no mask.
 
 Template: ``### role: text</turn>`` and a line feed for each turn.  In texts and roles a backslash is
 put before every backslash and before the control strings ``###`` and ``</turn>``, in roles also before
 ``:``; ``unescape`` takes each such backslash away, so any text comes back unchanged.
 
-Scale: rows are dealt by conversation, sorted by turn on disk, and streamed; state is a text of at most
-``WHOLE`` + ``LINK`` characters (and a turn) and running hashes, so a conversation of any length takes bounded
-memory (``expand`` needs one whole example).  Reading back, each row is reduced to what is new in it before the shuffle.
+Scale: rows are dealt by conversation, sorted by turn on disk, and streamed; state is a turn and ``LINK`` bytes of the
+conversation, what is beyond lies in a temporary file of the task (``expand`` needs one whole example).  What is stored
+grows with the square of a conversation's turns, and one task makes the examples of a conversation: that is the
+method's size.  Reading back, each row is reduced to what is new in it and to checks of the rest before the shuffle.
 
 Defined results: null text or role counts as empty.  A null turn sorts first; rows that share a turn
 are ordered by role, then text, and all count.  A null conv_id is a conversation of its own.
@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TURN_END = "</turn>"
-WHOLE = 1 << 16
-LINK = 1 << 20
+WHOLE = 1 << 14  # characters of a stored row at most
+LINK = 1 << 20  # bytes of a conversation in memory; more are linked in from a file
 EXAMPLES = "conv_id long, example long, trainable boolean, chars_before long, text string, new_from long, loss_start long, loss_end long"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
@@ -87,38 +89,68 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 2000, chars:
 
 
 _EXAMPLE_TYPES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("trainable", pa.bool_()), ("chars_before", pa.int64()), ("text", pa.string()), ("new_from", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-_NEW_TYPES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("chars_before", pa.int64()), ("new", pa.string()), ("reply", pa.string()), ("crc_before", pa.int64()), ("crc", pa.int64())])
-_NEW = "conv_id long, example long, chars_before long, new string, reply string, crc_before long, crc long"
+_NEW_TYPES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("chars_before", pa.int64()), ("new_from", pa.int64()), ("new", pa.string()), ("masked", pa.string()), ("crc_before", pa.int64()), ("crc", pa.int64())])
+_NEW = "conv_id long, example long, chars_before long, new_from long, new string, masked string, crc_before long, crc long"
 _DIGEST_TYPES = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
 _NO = object()
 
 
+class _Text:
+    """A growing text in pieces of ``WHOLE`` characters; all but the last lie in a file once they take ``LINK`` bytes."""
+
+    def __init__(self):
+        self.width, self.tail, self.places, self.file = WHOLE, "", [0], None
+
+    def __len__(self) -> int:
+        return (len(self.places) - 1) * self.width + len(self.tail)
+
+    def add(self, text: str) -> None:
+        text, full = self.tail + text, (len(self.tail) + len(text)) // self.width
+        if full:
+            self.file = self.file or tempfile.SpooledTemporaryFile(LINK)
+            self.file.seek(self.places[-1])
+            for k in range(full):
+                self.places.append(self.places[-1] + self.file.write(text[k * self.width : (k + 1) * self.width].encode()))
+        self.tail = text[full * self.width :]
+
+    def pieces(self) -> Iterator[tuple[int, str]]:
+        """(characters before, text) of each."""
+        for k, (a, b) in enumerate(pairwise(self.places)):
+            self.file.seek(a)
+            yield k * self.width, self.file.read(b - a).decode()
+        if self.tail:
+            yield (len(self.places) - 1) * self.width, self.tail
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Turns in order -> example rows."""
-    conv, known, parts, before, size, example = _NO, "", [], 0, 0, 0  # known: the text before, while examples are whole
+    """Turns in order -> the rows of every example."""
+    conv, whole, before, example = _NO, _Text(), 0, 0  # before: characters up to the last reply
 
-    def row(trainable: bool, start: int | None = None, end: int | None = None) -> tuple:
-        new = "".join(parts)
-        if known is not None and before + len(new) <= WHOLE:
-            return conv, example, trainable, 0, known + new, before, start, end
-        return conv, example, trainable, before, new, 0, start, end
+    def stored(start: int | None = None, end: int | None = None) -> Iterator[tuple]:
+        for at, text in whole.pieces():
+            upto = at + len(text)
+            trainable = start is not None and (at <= start < upto or start < at < end)
+            yield conv, example, trainable, at, text, min(len(text), max(0, before - at)), *((start, end) if trainable else (None, None))
 
     for conv_id, _, role, text in _rows(batches):
         if conv_id != conv:
-            if parts:
-                yield row(False)
-            conv, known, parts, before, size, example = conv_id, "", [], 0, 0, 0
+            if len(whole) > before:
+                yield from stored()
+            whole.close()
+            conv, whole, before, example = conv_id, _Text(), 0, 0
         top, body = head(role or ""), escape(text or "")
-        start = before + size + len(top)
-        parts.append(f"{top}{body}{TURN_END}\n")
-        size += len(parts[-1])
-        if role == "assistant" or size >= LINK:
-            out = row(role == "assistant", *((start, start + len(body)) if role == "assistant" else ()))
-            yield out
-            known = out[4] if out[3] == 0 and known is not None and before + size <= WHOLE else None
-            parts, before, size, example = [], before + size, 0, example + (role == "assistant")
-    if parts:
-        yield row(False)
+        start = len(whole) + len(top)
+        whole.add(f"{top}{body}{TURN_END}\n")
+        if role == "assistant":
+            yield from stored(start, start + len(body))
+            before, example = len(whole), example + 1
+    if len(whole) > before:
+        yield from stored()
+    whole.close()
 
 
 def format_examples(conversations: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -134,18 +166,23 @@ def expand(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            conv, text = _NO, ""
-            for conv_id, example, trainable, before, added, _, start, end in _rows(batches):
-                text = text + added if conv_id == conv and before else added
-                conv = conv_id
-                assert len(text) == before + len(added), "an example of the chain is missing"
-                if trainable:
-                    yield conv_id, example, text, start, end
+            at, parts, size, mask = (_NO, _NO), [], 0, None
+            for conv_id, example, trainable, before, text, _, start, end in _rows(batches):
+                if (conv_id, example) != at:
+                    if mask:
+                        yield *at, "".join(parts), *mask
+                    at, parts, size, mask = (conv_id, example), [], 0, None
+                assert before == size, "a row of an example is missing"
+                parts.append(text)
+                size += len(text)
+                mask = (start, end) if trainable else mask
+            if mask:
+                yield *at, "".join(parts), *mask
 
         yield from _batches(rows(), types)
 
     names = [f.name for f in _EXAMPLE_TYPES]
-    ordered = examples.select(*names).repartition("conv_id").sortWithinPartitions("conv_id", "example", F.col("chars_before") + F.length("text"))
+    ordered = examples.select(*names).repartition("conv_id", "example").sortWithinPartitions("conv_id", "example", "chars_before")
     return ordered.mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_end long")
 
 
@@ -154,13 +191,60 @@ def _crc(text: str, start: int = 0) -> int:
 
 
 def _new(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of each example: what is new in its text, the reply under its loss mask, and checks of the text before and after."""
+    """Of each row: what is new in its text, what of that is under the loss mask, and checks of the context and of all."""
     for conv_id, example, trainable, before, text, new_from, start, end in _rows(batches):
-        context, new, reply = text[:new_from], text[new_from:], None
-        if trainable:
-            reply = unescape(text[start - before : end - before])
-        check = _crc(context)
-        yield conv_id, example, before + new_from, new, reply, None if before else check, None if before else _crc(new, check)
+        masked = text[max(0, start - before) : end - before] if trainable else None
+        check = _crc(text[:new_from])
+        yield conv_id, example, before, new_from, text[new_from:], masked, check, _crc(text[new_from:], check)
+
+
+class _Read:
+    """A conversation read back row by row: every example has to hold the same text as the one before it, and more."""
+
+    def __init__(self):
+        self.turns, self.sha, self.loss_chars, self.loss_sha, self.chars, self.examples = 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0
+        self.known: dict[int, tuple[int, int]] = {}  # length and check of the text at each place
+        self.example, self.covered, self.rest, self.masked, self.last = None, 0, [], None, None
+
+    def add(self, example: int, before: int, new_from: int, new: str, masked: str | None, crc_before: int, crc: int) -> None:
+        if example != self.example:
+            self.end()
+            self.example, self.covered = example, 0
+        assert example == self.examples and before == self.covered, "an example is missing"
+        assert self.known.get(before, (0, 0)) == (new_from, crc_before), "the context of an example is not what stands before it"
+        self.covered += new_from + len(new)
+        self.known[before] = new_from + len(new), crc
+        self.chars += len(new)
+        if new:
+            self.rest.append(new)
+            if TURN_END + "\n" in "".join(self.rest[-2:])[-len(new) - len(TURN_END) :]:
+                self.parsed()
+        if masked is not None:
+            self.masked = [*(self.masked or []), masked]
+
+    def parsed(self) -> None:
+        """Takes the turns that are complete."""
+        text, at = "".join(self.rest), 0
+        while m := _FORMATTED.match(text, at):
+            self.last, at = (unescape(m[1]), unescape(m[2])), m.end()
+            self.turns += 1
+            self.sha.update(f"{self.last[0]}\n{self.last[1]}\n".encode("utf-8", "surrogatepass"))
+        self.rest = [text[at:]] if at < len(text) else []
+
+    def end(self) -> None:
+        """An example ends."""
+        assert not self.rest, f"no turn at character {self.chars - sum(map(len, self.rest))}"
+        assert self.covered == self.chars, "an example is not whole"
+        if self.masked is not None:
+            reply = unescape("".join(self.masked))
+            assert self.last == ("assistant", reply), "the loss mask is not on the reply"
+            self.loss_chars += len(reply)
+            self.loss_sha.update(reply.encode("utf-8", "surrogatepass"))
+            self.examples, self.masked = self.examples + 1, None
+
+    def result(self) -> tuple:
+        self.end()
+        return self.turns, self.sha.hexdigest(), self.loss_chars, self.loss_sha.hexdigest(), self.chars, self.examples
 
 
 def digest(examples: DataFrame) -> DataFrame:
@@ -168,26 +252,15 @@ def digest(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            conv, state, last = _NO, None, None
-            for conv_id, example, before, new, reply, crc_before, crc in _rows(batches):
+            conv, read = _NO, None
+            for conv_id, *row in _rows(batches):
                 if conv_id != conv:
-                    if state:
-                        yield conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]
-                    conv, state, last = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], 0
-                assert before == state[4] and example == state[5], "an example is missing"
-                assert crc_before is None or crc_before == last, "the context of an example is not what stands before it"
-                last, found = crc, parse(new)
-                state[0] += len(found)
-                for role, text, _, _ in found:
-                    state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if reply is not None:
-                    assert found[-1][:2] == ("assistant", reply), "the loss mask is not on the reply"
-                    state[2] += len(reply)
-                    state[3].update(reply.encode("utf-8", "surrogatepass"))
-                    state[5] += 1
-                state[4] += len(new)
-            if state:
-                yield conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]
+                    if read:
+                        yield conv, *read.result()
+                    conv, read = conv_id, _Read()
+                read.add(*row)
+            if read:
+                yield conv, *read.result()
 
         yield from _batches(rows(), _DIGEST_TYPES)
 

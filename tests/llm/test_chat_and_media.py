@@ -67,6 +67,42 @@ def test_stored_examples_are_whole(spark):
     assert [r.text[r.loss_start : r.loss_end] for r in got] == ["b", "d"]
 
 
+def test_examples_of_any_length_are_stored_whole(spark):
+    """The stored texts of a long conversation: context and reply of every example, and no link to another one."""
+    turns = [(("user", "assistant")[i % 2], f"{i} \\ ### é " * 700) for i in range(40)] + [("user", "\\</turn>\n" * 20_000), ("assistant", "#" * 100_000), ("assistant", ""), ("user", "end")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    made = chat.format_examples(df)
+    stored = {}
+    for r in sorted(made.collect(), key=lambda r: (r.example, r.chars_before)):
+        text, mask = stored.get(r.example, ("", None))
+        assert r.chars_before == len(text) and len(r.text) <= chat.WHOLE
+        stored[r.example] = text + r.text, (r.loss_start, r.loss_end) if r.trainable else mask
+    replies = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+    assert len(stored) == len(replies) + 1 and len(stored[len(replies) - 1][0]) > 10 * chat.WHOLE
+    for k, i in enumerate([*replies, len(turns) - 1]):
+        text, mask = stored[k]
+        assert [x[:2] for x in chat.parse(text)] == turns[: i + 1]
+        assert mask is None if k == len(replies) else chat.unescape(text[slice(*mask)]) == turns[i][1]
+    assert tuple(chat.digest(made).first())[1:5] == digests(turns)
+    assert {r.example: (r.text, (r.loss_start, r.loss_end)) for r in chat.expand(made).collect()} == {k: stored[k] for k in range(len(replies))}
+
+
+@pytest.mark.parametrize("spoil", ["text", "row", "mask"])
+def test_digest_notices_a_spoilt_context(spark, spoil):
+    turns = [(("user", "assistant")[i % 2], f"{i} " * 9000) for i in range(6)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    made = [r.asDict() for r in chat.format_examples(df).collect()]
+    row = next(r for r in sorted(made, key=lambda r: -r["chars_before"]) if r["example"] == 2 and (r["trainable"] if spoil == "mask" else r["chars_before"] == chat.WHOLE))
+    if spoil == "row":
+        made.remove(row)
+    elif spoil == "mask":
+        row["loss_end"] -= 1
+    else:
+        row["text"] = "x" + row["text"][1:]
+    with pytest.raises(Exception, match="an example|loss mask"):
+        chat.digest(spark.createDataFrame([tuple(r.values()) for r in made], chat.EXAMPLES)).collect()
+
+
 def test_repeated_turns_and_empty_table(spark):
     df = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "z")], "conv_id long, turn long, role string, text string")
     r = chat.digest(chat.format_examples(df)).first()
