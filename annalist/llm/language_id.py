@@ -33,6 +33,8 @@ from . import common, wordcache
 from .wordcache import slices
 
 UND = "und"
+EVIDENCE = 200  # symbols of a text that may overrule its label
+LEARNED = 5000  # symbols learned of a language that may be overruled
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -352,8 +354,11 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any letter go; where lang is null and there is a model, the predicted one is filled in.
+    """Pipeline stage: documents without any letter go; lang becomes the language that most of the text is in.
 
+    Every whole text is predicted.  The prediction replaces a null lang, and a label where the text has ``EVIDENCE`` symbols or
+    more, the predicted language outweighs all others together (score over a half) and at least ``LEARNED`` symbols
+    of the label's own language were learned; else the label stays.  mix_sources takes a source's words by lang.
     Without a model (no usable labelled row outside the held-out fold) null stays null.  Null and empty texts have no
     letter; repeated rows and ties are treated row by row, an empty table stays empty, extra columns pass as they are.
     """
@@ -361,8 +366,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = docs.select("doc_id", "text", "lang")
     model = fit(labelled_sample(usable))
     sent, has_model = spark.sparkContext.broadcast(model), bool(model.languages)
+    learned = {x for x, n in zip(model.languages, model.lengths, strict=True) if n >= LEARNED}
     schema = docs.schema
 
+    def settled(text: str, label: str | None, found: tuple[str, float]) -> str:
+        overruled = label is None or label != found[0] and label in learned and found[1] > 0.5 and len(symbols(text)) >= EVIDENCE
+        return found[0] if overruled else label
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wordcache.release()
         parser = Parser(sent.value)
@@ -370,9 +380,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             at = {name: batch.schema.get_field_index(name) for name in ("text", "lang")}
             batch = batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at["text"]).to_pylist()], pa.bool_()))
             labels = batch.column(at["lang"])
-            if has_model and labels.null_count:
-                found = iter(predicted(parser, batch.column(at["text"]).filter(labels.is_null())))
-                labels = pa.array([next(found)[0] if x is None else x for x in labels.to_pylist()], labels.type)
+            if has_model:
+                texts = batch.column(at["text"])
+                labels = pa.array([settled(*x) for x in zip(texts.to_pylist(), labels.to_pylist(), predicted(parser, texts), strict=True)], labels.type)
                 batch = batch.set_column(at["lang"], batch.schema.field(at["lang"]), labels)
             yield batch
 

@@ -12,6 +12,9 @@ Scale: documents meet in blocks of about ``block`` rows of one source (a hash of
 flown by a task of its own (blocks are dealt by a hash of the row and its repetition, so a repeated row is split too); what each block leaves (at most two rows) goes to the next level, with
 ``block`` times fewer rows, until every source has one block.  Only ids, sizes and probabilities move.
 
+Where rows have a stratum (the pipeline's stage: their language), the first level's blocks are of one stratum of a
+source, so the mix keeps both totals of every stratum up to what its blocks leave; the next levels join the strata.
+
 Targets: sources by code point, null last, weigh 1, 2, 3 and so on again; they share all sizes by
 weight, no source above ``most`` times its own size, and what is cut off is shared among the others by
 weight until none is above.
@@ -26,6 +29,7 @@ gives no rows; columns other than doc_id, text and source are not read.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -145,9 +149,10 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _flight(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    source, block, level, last = key
+    source, stratum, block, level, last = key
     pdf = pdf.sort_values(["size", "doc_id", *common.KEYS, "nth"], kind="stable").reset_index(drop=True)
-    seed = zlib.crc32(f"{source}|{block}|{level}".encode("utf-8", "surrogatepass"))
+    place = f"{source}|{block}|{level}" + (f"|{stratum}" if isinstance(stratum, str) else "")
+    seed = zlib.crc32(place.encode("utf-8", "surrogatepass"))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(pdf))
     pdf = pdf.iloc[order].reset_index(drop=True)
@@ -157,41 +162,45 @@ def _flight(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-FLOWN = f"{common.KEYS[0]} long, {common.KEYS[1]} long, nth long, doc_id long, source string, size long, source_size long, target double, sure long, pi double, blocks long"
+FLOWN = f"{common.KEYS[0]} long, {common.KEYS[1]} long, nth long, doc_id long, source string, stratum string, size long, source_size long, target double, sure long, pi double, blocks long"
 
 
 def draw(documents: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, block: int = 4096) -> DataFrame:
     """The columns of common.KEYS, doc_id, source, size, source_size, target, copies: a row for every row of documents.
 
-    documents: doc_id, source, size and the columns of common.KEYS, which tell different rows apart (rows that
-    share them are repeated ones and are drawn one by one).  copies: how often the mix takes the document.
+    documents: doc_id, source, size, maybe stratum, and the columns of common.KEYS, which tell different rows apart (rows
+    that share them are repeated ones and are drawn one by one).  copies: how often the mix takes the document.
     """
     return common.settled(documents.sparkSession, lambda: _draw(documents, weights, most, block), "draw")
 
 
 def _draw(documents: DataFrame, weights: tuple, most: int, block: int) -> DataFrame:
     spark, keys = documents.sparkSession, common.KEYS
-    rows = documents.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
-    base = common.materialize(rows.groupBy(*keys, "doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
-    sums = base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
-    plans = common.settled(spark, lambda: targets(sums, weights, most), "plans").withColumnRenamed("source", "src")
+    stratum = F.col("stratum") if "stratum" in documents.columns else F.lit(None)
+    rows = documents.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), stratum.cast("string").alias("stratum"), F.col("size").cast("long").alias("size"))
+    base = common.materialize(rows.groupBy(*keys, "doc_id", "source", "stratum", "size").agg(F.count("*").alias("n")), "sizes")
+    strata = common.materialize(base.groupBy("source", "stratum").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.ceil(F.sum("n") / block).cast("long").alias("rows")), "strata")
+    sums = strata.groupBy("source").agg(F.sum("source_size").alias("source_size"), F.sum("rows").alias("rows"))  # rows: of blocks
+    plans = common.settled(spark, lambda: targets(sums, weights, most), "plans")
+    same = lambda x, y, *names: reduce(lambda c, n: c & F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")), names, F.lit(True))
+    planned = strata.alias("s").join(plans.alias("p"), same("s", "p", "source")).select("s.source", "s.stratum", F.col("s.rows").alias("within"), F.col("p.rows").alias("blocks"), "p.source_size", "p.target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sure = F.floor(ratio + EPS)
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")
-    known = base.join(plans, base.source.eqNullSafe(plans.src)).select(*keys, each, "doc_id", "source", "size", "source_size", "target", sure.cast("long").alias("sure"), F.greatest(F.lit(0.0), ratio - sure).alias("pi"), F.ceil(F.col("rows") / block).cast("long").alias("blocks"))
+    known = base.alias("d").join(planned.alias("p"), same("d", "p", "source", "stratum")).select(*keys, each, "doc_id", "d.source", "d.stratum", "size", "source_size", "target", sure.cast("long").alias("sure"), F.greatest(F.lit(0.0), ratio - sure).alias("pi"), "blocks", "within")
     names = [f.split()[0] for f in FLOWN.split(", ")]
     done, current, level = None, known, 0
     fractional = lambda df: df.where((F.col("pi") > EPS) & (F.col("pi") < 1 - EPS))
     whole = lambda df: df.where((F.col("pi") <= EPS) | (F.col("pi") >= 1 - EPS))
-    most_blocks = -(-(plans.agg(F.max("rows")).first()[0] or 0) // block)
+    most_blocks = plans.agg(F.max("rows")).first()[0] or 0
     while True:
-        keyed = fractional(current).withColumn("b", F.pmod(F.xxhash64(*keys, "nth", F.lit(level)), F.col("blocks"))).withColumn("level", F.lit(level)).withColumn("last", F.col("blocks") == 1)
-        flown = keyed.groupBy("source", "b", "level", "last").applyInPandas(lambda key, pdf: _flight(key, pdf)[names], FLOWN)
-        out = common.materialize(whole(current).unionByName(flown), f"flight{level}")
+        keyed = fractional(current).withColumn("b", F.pmod(F.xxhash64(*keys, "nth", F.lit(level)), F.col("blocks" if level else "within"))).withColumn("level", F.lit(level)).withColumn("last", F.col("blocks") == 1)
+        flown = keyed.groupBy("source", "stratum", "b", "level", "last").applyInPandas(lambda key, pdf: _flight(key, pdf)[names], FLOWN)
+        out = common.materialize(whole(current).select(names).unionByName(flown), f"flight{level}")
         done = whole(out) if done is None else done.unionByName(whole(out))
         if most_blocks <= 1:
             break
-        current = fractional(out).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * 2 / block)).cast("long"))
+        current = fractional(out).withColumn("stratum", F.lit(None).cast("string")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * 2 / block)).cast("long"))
         most_blocks, level = max(1, -(-most_blocks * 2 // block)), level + 1
     copies = F.col("sure") + F.round("pi").cast("long")
     return done.select(*keys, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
@@ -212,12 +221,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stands in the output as often as the mix takes it (0 to 3 times).
 
     Null text has size 0, null source is a source of its own, repeated rows are drawn one by one, an empty table
-    stays empty.  Rows are told apart by a 128-bit hash of all their columns, so extra columns may have any name
+    stays empty.  Where there is a column lang, a source's words are taken in the shares of its languages (null is one).  Rows are told apart by a 128-bit hash of all their columns, so extra columns may have any name
     but those of common.KEYS.  What is taken grows with the documents, so the join is a merge at every size.
     """
     common.bounded_batches(spark)
     keys, n = common.KEYS, "_annalist_copies"
+    language = F.col("lang") if "lang" in docs.columns else F.lit(None)
     keyed = docs.select("*", *common.row_key(docs))
-    taken = draw(keyed.select(*keys, "doc_id", "source", word_count().alias("size"))).groupBy(*keys).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    taken = draw(keyed.select(*keys, "doc_id", "source", language.alias("stratum"), word_count().alias("size"))).groupBy(*keys).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
     once = keyed.join(taken.hint("merge"), keys).dropDuplicates(keys)
     return once.withColumn("_annalist_copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -69,3 +69,29 @@ def test_first_stages_equal_plain_ones(spark, sf):
         took[r.source] = took.get(r.source, 0) + words(r.text)
     longest = {s: max(words(r.text) for r in third if r.source == s) for s in sizes}
     assert all(abs(took.get(s, 0) - t) <= max(longest[s], 0.02 * t) for s, t in want.items())
+
+
+def test_language_stage_decides_what_the_mix_takes(spark):
+    """Languages keep their shares of each source's words; without the predictions other documents are taken."""
+    import random
+    import zlib
+
+    rng = random.Random(6)
+    letters = dict(zip("wxyz", ("abcdef", "ghijkl", "mnopqr", "stuvwö"), strict=True))
+    rows = []
+    for i in range(1200):
+        x = rng.choice("wwwxxyz")
+        text = " ".join("".join(rng.choices(letters[x], k=4)) for _ in range(60))
+        rows.append((i, text, x if i % 3 and zlib.crc32(str(i).encode()) % 4 != 2 else None, "abc"[i % 3], x))
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    stages, true = dict(corpus_pipeline.STAGES), {r[0]: r[4] for r in rows}
+    named = spark.createDataFrame(stages["language_id"](spark, df, "").collect(), df.schema)
+    assert {r.doc_id: r.lang for r in named.collect()} == true
+    mixed = [r.doc_id for r in stages["mix_sources"](spark, named, "").collect()]
+    for s in "abc":
+        own = [r[0] for r in rows if r[3] == s]
+        share = sum(rows[i][3] == s for i in mixed) / len(own)
+        for x in letters:
+            want = share * sum(true[i] == x for i in own)
+            assert abs(sum(rows[i][3] == s and true[i] == x for i in mixed) - want) <= 3
+    assert sorted(mixed) != sorted(r.doc_id for r in stages["mix_sources"](spark, df, "").collect())

@@ -207,3 +207,18 @@ def test_stage_fills_missing_languages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {(r.doc_id, r.text): r.lang for r in lang.stage(spark, df, "").collect()}
     assert got == {(i, t): {None: "y" if t[0] == "x" else "x"}.get(x, x) for i, t, x in rows if t != "12"}
+
+
+def test_stage_overrules_labels_that_the_text_contradicts(spark):
+    import random
+
+    rng = random.Random(4)
+    words = {x: ["".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(300)] for x, letters in (("x", "abcdefgh"), ("y", "nopqrstu"))}
+    text = lambda x, n: " ".join(rng.choices(words[x], k=n))
+    rows = [(i, text(x := "xy"[i % 2], 200), x) for i in range(80)]
+    wrong = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)  # not learned from
+    odd = [(wrong, text("x", 150), "y"), (wrong, text("x", 8), "y"), (wrong, text("y", 150) + " " + text("x", 20), "y"), (wrong, text("x", 150), "z"), (None, text("y", 150), None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r.text: r.lang for r in lang.stage(spark, df, "").collect()}
+    assert all(got[t] == x for _, t, x in rows)
+    assert [got[t] for _, t, _ in odd] == ["x", "y", "y", "z", "y"]
